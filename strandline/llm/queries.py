@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import components, quantile_sketch
+from strandline.llm import components, leakage, lookalike, quantile_sketch, tokens
 from strandline.tables import load
 
 SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -78,8 +79,40 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return tokens.encode(load(spark, d, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
+
+
+def p7_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """How many documents have how many ids, in steps of powers of two."""
+    n = F.size("ids")
+    return p7_ids(spark, d).groupBy(F.when(n > 0, F.floor(F.log2(n))).otherwise(-1).alias("log2_ids")).agg(F.count(F.lit(1)).alias("n_documents"), F.sum(n).alias("n_ids"))
+
+
+def _leaks(spark: SparkSession, d: str, slop: int) -> DataFrame:
+    return leakage.leaks(load(spark, d, "documents"), "doc_id", "text", load(spark, d, "eval_items"), "item_id", "item_text", slop=slop)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d, 0)
+
+
+def p8_near(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve words of an item in their places within thirteen, so one may be missing or changed."""
+    return _leaks(spark, d, 1)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.alike(load(spark, d, "documents"), "doc_id", "text")
+
+
+def p9_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.forms(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "form")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_daily_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes)
+    f.__name__: f for f in (p1_percentiles, p1_daily_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
 }
 
 _GROUPS = """
