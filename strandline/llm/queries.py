@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import components, leakage, lookalike, quantile_sketch, tokens
+from strandline.llm import components, leakage, lookalike, matching, quantile_sketch, tokens
 from strandline.tables import load
 
 SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -79,6 +79,16 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p3_found(spark, d).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = matching.candidates(load(spark, d, "vcf_records"), load(spark, d, "panel_records"))
+    return pairs.where("agrees").select("call_id", "panel_id").distinct()
+
+
+def p6_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best panel records of each call with score, mutual-nearest test and confidence."""
+    return matching.matches(load(spark, d, "vcf_records"), load(spark, d, "panel_records"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return tokens.encode(load(spark, d, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
@@ -112,7 +122,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_daily_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
+    f.__name__: f for f in (p1_percentiles, p1_daily_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
 }
 
 _GROUPS = """
@@ -122,7 +132,38 @@ e as (select distinct a.qry_id a, b.qry_id b from r a join r b on a.ref_id = b.r
 reach(a, b) as (select a, b from e union select reach.a, e.b from reach join e on reach.b = e.a),
 found as (select least(a, min(b)) group_id, a qry_id from reach group by a)"""
 
+_CONTIG = r"""case when regexp_matches({t}, '^(scaffold|scaff|scf)[ _.-]*[0-9]+$') then 's' || regexp_extract({t}, '[ _.-]*0*([0-9]+)$', 1)
+  when regexp_matches({t}, '^(chromosome|chrom|chr)?[ _.-]*[0-9]+$') then regexp_extract({t}, '^(?:chromosome|chrom|chr)?[ _.-]*0*([0-9]+)$', 1)
+  else nullif(regexp_replace({t}, '^(chromosome|chrom|chr)[ _.-]*', ''), '') end"""
+
+
+def _contig(column: str) -> str:
+    return _CONTIG.replace("{t}", f"lower(trim({column}))")
+
+
+def _kind(column: str) -> str:
+    name = f"split_part(upper(regexp_replace({column}, '[<> ]', '', 'g')), ':', 1)"
+    cases = " ".join(f"when '{a}' then '{b}'" for a, b in matching.KINDS.items())
+    return f"case {name} {cases} else nullif({name}, '') end"
+
+
+_MATCHES = f"""
+with c as (select distinct call_id, {_contig("chrom")} ca, pos a, {_contig("chr2")} cb, pos2 b, {_kind("sv_type")} kind, abs(sv_len) len from vcf_records),
+p as (select panel_id, {_contig("chrom")} ca, pos a, {_contig("chr2")} cb, stop_pos b, {_kind("svtype")} kind, abs(svlen) len,
+    coalesce(list_max([abs(x) for x in cipos]), 200) + 15 ta, coalesce(list_max([abs(x) for x in ciend]), 200) + 15 tb from panel_records),
+plain as (select call_id, panel_id, coalesce(c.kind = 'INS', false) or coalesce(p.kind = 'INS', false) ins,
+    c.len cl, p.len pl, abs(c.b - c.a) cd, abs(p.b - p.a) pd
+  from c join p on c.ca = p.ca and c.a between p.a - p.ta and p.a + p.ta
+  where coalesce(c.kind, '') <> 'BND' and coalesce(p.kind, '') <> 'BND' and coalesce(c.kind = p.kind, true)),
+sized as (select *, case when ins then cl else coalesce(cl, cd) end x, case when ins then pl else coalesce(pl, pd) end y from plain)
+select call_id, panel_id from sized where coalesce(abs(x - y) <= 5 or abs(x - y) * 20 <= greatest(x, y), true)
+union
+select call_id, panel_id from c join p on c.ca = p.ca and c.cb = p.cb and abs(c.a - p.a) <= ta and abs(c.b - p.b) <= tb where c.kind = 'BND' and p.kind = 'BND'
+union
+select call_id, panel_id from c join p on c.cb = p.ca and c.ca = p.cb and abs(c.b - p.a) <= ta and abs(c.a - p.b) <= tb where c.kind = 'BND' and p.kind = 'BND'"""
+
 SQL: dict[str, str] = {
+    "p6_found": _MATCHES,
     "p1_within_bound": f"""
 with m as (select genome_id, unnest(['mapq', 'error_rate', 'read_length']) field,
     unnest([case when mapq between 0 and 254 then mapq end, case when error_rate >= 0 then error_rate end,
