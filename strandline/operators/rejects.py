@@ -53,6 +53,12 @@ def split_quoted(line: Column, keep: int) -> Column:
     return F.when(line.isNull(), none).when(line.contains(QUOTE), folded).otherwise(plain)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row, however often it is used: Spark copies a projection's expressions into later ones and
+    into filters, but not those of a generator."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def with_errors(df: DataFrame, rules: list[Rule], column: str = "errors") -> DataFrame:
     """df with an array of the reasons of all broken rules, in the rules' order; an empty array marks a valid row."""
     broken = [F.when(F.coalesce(r.broken, F.lit(True)), F.lit(r.reason)) for r in rules]

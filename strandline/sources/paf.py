@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.rejects import Rule, rejected, split_quoted, valid, with_errors
+from strandline.operators.rejects import Rule, computed, rejected, split_quoted, valid, with_errors
 
 # The columns of the format.
 FIELDS = ["qry_id", "qry_len", "qry_start", "qry_end", "strand", "ref_id", "ref_len", "ref_start", "ref_end", "n_match", "block_len", "mapq"]
@@ -27,13 +27,13 @@ def _is(column: str, pattern: str) -> Column:
 
 
 def read_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
-    """df with each field of a line as nullable text, tags as an array of text, and errors, the array of its reasons (empty: a valid line).
+    """df with each field of a line as nullable text, tags as an array of text, the first tags de and tp as text, and errors, the array of its reasons (empty: a valid line).
 
     Reasons: quoting, columns, mapq, de_tag, other; the first is the one that counts. A null or empty line has the reason columns. Columns of
     df named like a field are dropped, the line and all others stay.
     """
     fields = F.col("_split.fields")
-    divergence = F.filter("tags", lambda t: t.startswith("de:"))
+    divergence = F.col("_de")
     number = F.substring(divergence[0], 6, 2**31 - 1).try_cast("double")
     numbers = ["qry_len", "qry_start", "qry_end", "ref_len", "ref_start", "ref_end", "n_match", "block_len"]
     all_digits = F.lit(True)
@@ -49,22 +49,24 @@ def read_lines(df: DataFrame, line: str = "raw_line") -> DataFrame:
         Rule("de_tag", (F.size(divergence) != 1) | ~divergence[0].rlike(DIVERGENCE) | ~number.between(0, 1)),
         Rule("other", ~F.col("strand").isin("+", "-") | (F.col("qry_id") == "") | (F.col("ref_id") == "") | ~all_digits | ~in_order),
     ]
+    lines = df.drop(*(c for c in [*FIELDS, "tags", "de_tag", "type_tag", "errors", "_split", "_de"] if c != line))
     text = (
-        df.drop(*(c for c in [*FIELDS, "tags", "errors", "_split"] if c != line))
-        .withColumn("_split", split_quoted(F.col(line), MAX_FIELDS))
+        computed(lines, "_split", split_quoted(F.col(line), MAX_FIELDS))
         .withColumns({c: F.get(fields, F.lit(i)) for i, c in enumerate(FIELDS)})
         .withColumn("tags", F.slice(fields, len(FIELDS) + 1, MAX_FIELDS - len(FIELDS)))
     )
-    return with_errors(text, rules).drop("_split")
+    text = computed(text, "_de", F.filter("tags", lambda t: t.startswith("de:"))).withColumns(
+        {"de_tag": F.get("_de", F.lit(0)), "type_tag": F.get(F.filter("tags", lambda t: t.startswith("tp:")), F.lit(0))}
+    )
+    return with_errors(text, rules).drop("_split", "_de")
 
 
 def load(df: DataFrame, line: str = "raw_line") -> DataFrame:
     """The valid lines with typed fields (positions of more than 18 digits become null), de as a number and type_tag."""
     good = valid(read_lines(df, line))
-    tag = lambda p: F.filter("tags", lambda t: t.startswith(p))[0]
     whole = {c: F.col(c).try_cast("long") for c in FIELDS if c not in ("qry_id", "strand", "ref_id", "mapq")}
     return good.withColumns(
-        whole | {"mapq": F.col("mapq").cast("int"), "de": F.substring(tag("de:"), 6, 2**31 - 1).cast("double"), "type_tag": tag("tp:")}
+        whole | {"mapq": F.col("mapq").cast("int"), "de": F.substring("de_tag", 6, 2**31 - 1).cast("double")}
     )
 
 
