@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,13 +15,17 @@ from strandline.lineage import cut, store
 from strandline.llm import mail
 from strandline.llm.lookalike import Former, letter_pairs
 
+ASCII_WORD = re.compile(r"[A-Za-z0-9]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 #: Words of the test items that are broadcast to keep other words out of the index; with more distinct words than this the index holds all words.
 MOST_WORDS = 1_000_000
 
 
-def words(text: str, former: Former) -> list[str]:
-    return [w for w in WORD.findall(former.form(text).casefold())]
+def words(text: str, former: Former | None = None) -> list[str]:
+    """Runs of letters and digits without case; former brings the text to the consistent form, if it isn't in it."""
+    if text.isascii():
+        return ASCII_WORD.findall(text.lower())
+    return WORD.findall((former.form(text) if former else text).casefold())
 
 
 def term_id(word: str) -> int:
@@ -60,8 +65,8 @@ def index(df: DataFrame, key: str, text: str, vocabulary: set[str] | None) -> Da
                 for key, message in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found: dict[int, list[int]] = {}
                     n = 0
-                    for body in mail.texts(former.form(message)):
-                        ws = words(body, former)
+                    for body, decoded in mail.texts(former.form(message)):
+                        ws = words(body, former if decoded else None)
                         for k, w in enumerate(ws, n):
                             if (t := ids.get(w) if ids is not None else term_id(w)) is not None:
                                 found.setdefault(t, []).append(k)
@@ -76,12 +81,13 @@ def index(df: DataFrame, key: str, text: str, vocabulary: set[str] | None) -> Da
     return store(rows.mapInArrow(posted, f"key {kind}, term long, positions array<int>").sortWithinPartitions("term"), "postings")
 
 
-def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 12, slop: int = 0) -> DataFrame:
+def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, run: int = 12, slop: int = 0, probes: int = 3) -> DataFrame:
     """Rows (key, item), each once, of documents that hold at least run consecutive words of a test item.
 
     With slop, run words of the item in their places within run + slop words of it are enough (proximity). Each window of the item's words is
-    looked up by its rarest word in the corpus (with slop by its slop + 1 rarest ones, since so many may be missing): its postings, moved by the word's
-    offset, name the places where the item could begin, and the other words' moved postings are intersected there.
+    looked up by its probes rarest words in the corpus: their postings, each moved by the word's offset in the item, are intersected and name the
+    places where the item could begin (with slop by probes + slop words, of which probes must meet); the postings of all its other words
+    are intersected there. probes is at most run.
 
     Null and empty texts and items, and items of fewer than run words, match nothing. Items that share a passage are all reported; a document
     with the same key twice counts once. Further columns are not read.
@@ -95,23 +101,28 @@ def leaks(df: DataFrame, key: str, text: str, items: DataFrame, item: str, item_
     frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     window = Window.partitionBy("item").orderBy("offset").rowsBetween(0, size - 1)
     known = terms.select("item", "offset", "term").join(frequency, "term", "left").fillna(0, ["df"])
-    whole = Window.partitionBy("item")
     # An item that is shorter than a window with its slop has one window, which is the whole item.
-    anchors = cut(
+    windows = cut(
         known.withColumn("around", F.array_sort(F.collect_list(F.struct("df", "offset", "term")).over(window)))
-        .withColumn("last", F.max("offset").over(whole))
+        .withColumn("last", F.max("offset").over(Window.partitionBy("item")))
         .where((F.col("offset") == 0) | (F.col("offset") + size - 1 <= F.col("last")))
         .where(F.size("around") >= run)
-        .select("item", F.explode(F.slice("around", 1, slop + 1)).alias("a"))
-        .select("item", F.col("a.offset").alias("offset"), F.col("a.term").alias("term"))
-        .distinct()
+        .select("item", F.slice("around", 1, probes + slop).alias("rarest"))
     )
+    anchors = windows.select("item", F.explode("rarest").alias("a")).select("item", F.col("a.offset").alias("offset"), F.col("a.term").alias("term")).distinct()
     # Rows of the tables of test items number at most the items' words; Spark broadcasts them if they are small.
-    places = cut(
+    begun = (
         postings.join(anchors, "term")
         .select("key", "item", F.explode("positions").alias("position"), "offset")
-        .select("key", "item", (F.col("position") - F.col("offset")).alias("start"))
-        .distinct()
+        .groupBy("key", "item", (F.col("position") - F.col("offset")).alias("start"))
+        .agg(F.collect_set("offset").alias("there"))
+        .where(F.size("there") >= probes)
+    )
+    wanted = windows.groupBy("item").agg(F.collect_list("rarest.offset").alias("wanted"))
+    places = cut(
+        begun.join(wanted, "item")
+        .where(F.exists("wanted", lambda w: F.size(F.array_intersect(w, F.col("there"))) >= probes))
+        .select("key", "item", "start")
     )
     here = postings.join(places.select("key").distinct(), "key", "left_semi")
     met = (

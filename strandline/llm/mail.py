@@ -47,8 +47,8 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
-def texts(message: str, depth: int = 0) -> list[str]:
-    """The texts of all parts. A part without a blank line after its headers is a body; an unclosed or never opened multipart is read to its end."""
+def texts(message: str, depth: int = 0) -> list[tuple[str, bool]]:
+    """The texts of all parts, and whether they were decoded, so that they may hold characters that the message does not show. A part without a blank line after its headers is a body; an unclosed or never opened multipart is read to its end."""
     head, body = "", message
     if FIELD_LINE.match(message.lstrip("\r\n")[:200]):
         parts = BLANK.split(message.lstrip("\r\n"), maxsplit=1)
@@ -59,13 +59,13 @@ def texts(message: str, depth: int = 0) -> list[str]:
     content = fields.get("content-type", "")
     kind = content.split(";")[0].strip().lower() or "text/plain"
     if not body:
-        return [head] if head else []
+        return [(head, False)] if head else []
     if kind.startswith("multipart/") and depth < DEEPEST:
         mark = BOUNDARY.search(content)
         mark = (mark[1] or mark[2] or "").strip() if mark else ""
         if mark and f"--{mark}" in body:
             pieces = regex.split(rf"(?m)^--{regex.escape(mark)}(?:--)?[ \t]*\r?$\n?", body)
-            return [pieces[0], *(t for p in pieces[1:] for t in texts(p if FIELD_LINE.match(p[:200]) else "\n" + p, depth + 1))]
+            return [(pieces[0], False), *(t for p in pieces[1:] for t in texts(p if FIELD_LINE.match(p[:200]) else "\n" + p, depth + 1))]
     if kind == "message/rfc822" and depth < DEEPEST:
         return texts(body, depth + 1)
     if not kind.startswith(("text/", "multipart/", "message/")):
@@ -75,4 +75,5 @@ def texts(message: str, depth: int = 0) -> list[str]:
     text = _decoded(body, encoding, charset[1] if charset else "")
     if "<" in text and (kind == "text/html" or MARKUP.search(text)):
         text = without_markup(text)
-    return [html.unescape(text) if "&" in text else text]
+    plain = html.unescape(text) if "&" in text else text
+    return [(plain, plain is not body)]
