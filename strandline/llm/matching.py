@@ -85,15 +85,23 @@ def calibrate(pairs: DataFrame, label: Column, step: float = 0.25, most: float =
     xs = np.array([0.0] + [r["x"] for r in rows])
     n = np.array([1.0] + [float(r["n"]) for r in rows])
     yes = np.array([0.5] + [float(r["yes"] or 0) for r in rows])
-    beta = np.zeros(2)
     features = np.stack([np.ones_like(xs), xs], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(features @ beta, -30, 30)))
-        gradient = features.T @ (yes - n * p) - np.array([0.0, 1e-3]) * beta
-        hessian = (features * (n * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2)
+    ridge = np.array([0.0, 1e-3])
+
+    def likelihood(beta: np.ndarray) -> float:
+        z = features @ beta
+        return float((yes * z - n * np.logaddexp(0, z)).sum() - (ridge * beta**2).sum() / 2)
+
+    beta = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(features @ beta, -500, 500)))
+        gradient = features.T @ (yes - n * p) - ridge * beta
+        hessian = (features * (n * p * (1 - p))[:, None]).T @ features + np.diag(ridge + 1e-9)
         move = np.linalg.solve(hessian, gradient)
-        beta = beta + np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-9:
+        while np.abs(move).max() > 1e-9 and likelihood(beta + move) < likelihood(beta):
+            move = move / 2
+        beta = beta + move
+        if np.abs(move).max() <= 1e-9:
             break
     return float(beta[0]), float(beta[1])
 
