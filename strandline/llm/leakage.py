@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandline.lineage import cut, store
 from strandline.llm import mail
-from strandline.llm.lookalike import Former, letter_pairs
+from strandline.llm.lookalike import Former
 
 ASCII_WORD = re.compile(r"[A-Za-z0-9]+")
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -50,14 +50,14 @@ def index(df: DataFrame, key: str, text: str, vocabulary: set[str] | None) -> Da
     """Postings (key, term, positions), stored in the shared folder and sorted by term within each file.
 
     A document's words are those of its decoded bodies and text attachments, numbered through all of them, with a hole between two parts.
+    Which of the letters that are drawn alike a word's form shows makes no difference to whether words are equal, so no letter pairs are counted.
     With a vocabulary, words outside it are counted in the positions but have no posting: no test item can match them.
     """
     spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((letter_pairs(df, text), {w: term_id(w) for w in vocabulary} if vocabulary is not None else None))
+    shared = spark.sparkContext.broadcast({w: term_id(w) for w in vocabulary} if vocabulary is not None else None)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, ids = shared.value
-        former = Former(pairs)
+        ids, former = shared.value, Former()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
