@@ -38,10 +38,10 @@ def retrieve(queries: DataFrame, docs: DataFrame) -> DataFrame:
     weighted = index(docs)
     lists = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct("anchors")).alias("token"))
     probes = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct("anchors")).alias("token"))
-    pairs = probes.join(lists, "token").select("query", "doc").distinct()
-    full = pairs.join(queries.select(F.col("id").alias("query"), F.concat("anchors", "others").alias("tokens")), "query").join(
-        weighted.withColumnRenamed("id", "doc"), "doc"
-    )
+    # Spark's size estimates of what was cut are far too low for a broadcast.
+    pairs = probes.join(lists.hint("merge"), "token").select("query", "doc").distinct()
+    asked = queries.select(F.col("id").alias("query"), F.concat("anchors", "others").alias("tokens"))
+    full = pairs.join(asked.hint("merge"), "query").join(weighted.withColumnRenamed("id", "doc").hint("merge"), "doc")
     shared = F.filter("weights", lambda w: F.array_contains("tokens", w["token"]))
     score = F.aggregate(shared, F.lit(0.0), lambda s, w: s + w["weight"])
     return full.select("query", "doc", score.alias("score"))
@@ -240,7 +240,7 @@ def candidates(call_rows: DataFrame, panel_rows: DataFrame) -> DataFrame:
     scored = retrieve(call_tokens(c, levels), panel_tokens(p))
     own = c.select(F.col("id").alias("query"), *[F.col(n).alias(f"c_{n}") for n in c.columns if n != "id"])
     theirs = p.select(F.col("id").alias("doc"), *[F.col(n).alias(f"p_{n}") for n in p.columns if n != "id"])
-    full = scored.join(own, "query").join(theirs, "doc")
+    full = scored.join(own.hint("merge"), "query").join(theirs.hint("merge"), "doc")
     return full.select("query", "doc", F.col("c_key").alias("call_id"), F.col("p_key").alias("panel_id"), "score", agrees("c_", "p_").alias("agrees"))
 
 
