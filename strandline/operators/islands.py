@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.lineage import cut
 from strandline.operators.skew import join_per_key
 
 #: Width of a shard of the axis, which bounds the distinct positions that one task orders.
@@ -48,9 +47,10 @@ def gap_clusters(df: DataFrame, keys: list[str], position: str, gap: int, name:
     """df with name, the first position of the row's cluster: within keys, a new one begins where a position exceeds the one before by more than gap.
 
     Distinct positions are clustered within shards of the axis and the shards' first and last clusters are stitched, so neither a key nor a place
-    that holds most rows ends in one task. Rows with a null in keys or position are left out; an empty table stays empty. df is read twice.
+    that holds most rows ends in one task. Rows with a null in keys or position are left out; an empty table stays empty. df is read several times; the clusters of its
+    distinct positions are written once.
     """
-    starts = _cluster_starts(df, keys, position, gap, name, shard)
+    starts = cut(_cluster_starts(df, keys, position, gap, name, shard))
     return join_per_key(df.withColumn(position, F.col(position).cast("long")), starts, [*keys, position], "_n")
 
 
@@ -80,7 +80,9 @@ def anchored_clusters(df: DataFrame, keys: list[str], position: str, width: int)
     center is the whole mean of all rows' positions. The positions are split first where neighbours are width or more apart, which always
     begins a cluster; a task holds the distinct positions of one such stretch. Nulls are left out.
     """
-    starts = _cluster_starts(df, keys, position, width - 1, "_stretch", SHARD)
+    starts = cut(_cluster_starts(df, keys, position, width - 1, "_stretch", SHARD))
+    spans = starts.groupBy(*keys, "_stretch").agg((F.max(position) - F.col("_stretch")).alias("_span"), F.count(F.lit(1)).alias("_k"))
+    long = cut(spans.where(F.col("_span") >= width).select(*keys, "_stretch", "_k"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(position)
@@ -91,7 +93,9 @@ def anchored_clusters(df: DataFrame, keys: list[str], position: str, width: int)
             i = j
         return pdf.assign(start_pos=out)[[*keys, "start_pos", position, "_n"]]
 
-    kinds = starts.select(*keys, F.col("_stretch").alias("start_pos"), position, "_n").schema
-    placed = starts.groupBy(*keys, "_stretch").applyInPandas(greedy, kinds)
+    # A stretch narrower than width, as most are, is one cluster as it is.
+    kinds = starts.select(*keys, F.col("_stretch").alias("start_pos"), position, "_n")
+    short = starts.join(long, [*keys, "_stretch"], "left_anti").select(*keys, F.col("_stretch").alias("start_pos"), position, "_n")
+    placed = short.unionByName(join_per_key(starts, long, [*keys, "_stretch"], "_k").groupBy(*keys, "_stretch").applyInPandas(greedy, kinds.schema))
     total = F.sum(F.col(position) * F.col("_n"))
     return placed.groupBy(*keys, "start_pos").agg(F.floor(total / F.sum("_n")).alias("center"), F.sum("_n").alias("n"))

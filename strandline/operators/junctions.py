@@ -42,7 +42,7 @@ def supported(pairs: DataFrame, gap: int = 50, min_support: int = 3, precise: in
 
     label is FAIL unless some genome has min_support reads of passed connections; prec is 0 if either end spreads precise or more.
     """
-    a = islands.gap_clusters(pairs, ["chr_a", "dir_a"], "pos_a", gap, "cluster_a")
+    a = cut(islands.gap_clusters(cut(pairs), ["chr_a", "dir_a"], "pos_a", gap, "cluster_a"))
     both = cut(islands.gap_clusters(a, ["chr_b", "dir_b"], "pos_b", gap, "cluster_b"))
     key = ["chr_a", "dir_a", "cluster_a", "chr_b", "dir_b", "cluster_b"]
     place = both.groupBy(*key).agg(
