@@ -202,17 +202,17 @@ def deletion_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 # The breakpoint graph: an end belongs to the place of ends at most 1000 apart, a junction joins the places of its two ends.
 
-_GRAPH = f"""{JUN}, e as (select junction_key, chr_a chr, pos_a pos, 1 side, supp, genome_id, vcf_sv_type from jun where chr_b is not null and is_pass = 'PASS'
-  union all select junction_key, chr_b, pos_b, 2, supp, genome_id, vcf_sv_type from jun where chr_b is not null and is_pass = 'PASS'){_islands("e", "chr", "pos", 1000, "c", "ec")},
-edges as (select x.chr || ':' || x.c src, y.chr || ':' || y.c dst, x.genome_id, x.junction_key, x.supp, x.vcf_sv_type from ec x join ec y on x.junction_key = y.junction_key and x.genome_id = y.genome_id and x.side = 1 and y.side = 2)"""
+_GRAPH = f"""{JUN}, e as (select junction_key, hp1, hp2, chr_a chr, pos_a pos, 1 side, supp, genome_id, vcf_sv_type from jun where chr_b is not null and is_pass = 'PASS'
+  union all select junction_key, hp1, hp2, chr_b, pos_b, 2, supp, genome_id, vcf_sv_type from jun where chr_b is not null and is_pass = 'PASS'){_islands("e", "chr", "pos", 1000, "c", "ec")},
+edges as (select x.chr || ':' || x.c src, y.chr || ':' || y.c dst, x.genome_id, x.junction_key, x.supp, x.vcf_sv_type from ec x join ec y on x.junction_key = y.junction_key and x.genome_id = y.genome_id and x.hp1 is not distinct from y.hp1 and x.hp2 is not distinct from y.hp2 and x.side = 1 and y.side = 2)"""
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
     j = _jun(spark, d).where("chr_b is not null and is_pass = 'PASS'")
     side = lambda e, n: F.struct(F.col(f"chr_{e}").alias("chr"), F.col(f"pos_{e}").alias("pos"), F.lit(n).alias("side"))
-    ends = j.select("junction_key", "genome_id", "supp", "vcf_sv_type", F.inline(F.array(side("a", 1), side("b", 2))))
+    ends = j.select("junction_key", "genome_id", "hp1", "hp2", "supp", "vcf_sv_type", F.inline(F.array(side("a", 1), side("b", 2))))
     placed = islands.gap_clusters(ends, ["chr"], "pos", 1000, "c").withColumn("node", F.concat_ws(":", "chr", "c"))
-    key = ["junction_key", "genome_id", "supp", "vcf_sv_type"]
+    key = ["junction_key", "genome_id", "hp1", "hp2", "supp", "vcf_sv_type"]
     return placed.groupBy(*key).agg(F.max(F.when(F.col("side") == 1, F.col("node"))).alias("src"), F.max(F.when(F.col("side") == 2, F.col("node"))).alias("dst"))
 
 
