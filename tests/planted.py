@@ -38,7 +38,7 @@ def segments(r, n=500):
             "read_end": s + r.choice([300, 900, 1500]), "ref_id": maybe(r, r.choice(["chr01", "chr02"])), "ref_start": start, "ref_end": start + (size if kind == "split" else 0), "ref_start_ori": start, "ref_end_ori": start + r.randrange(3),
             "strand": r.choice([1, -1]), "read_length": maybe(r, r.choice([0, 5000, 9000, 12000])), "align_len": size, "segment_length": maybe(r, max(size, 60)), "haplotype": maybe(r, r.randrange(3)), "mapq": maybe(r, r.choice([0, 30, 60, 60])),
             "mismatch_rate": maybe(r, r.choice([1, 2, 3, 40, 60])), "error_rate": maybe(r, r.randrange(40)), "is_pass": maybe(r, r.choice(["PASS"] * 4 + ["_LOW_MAPQ"])), "is_insertion": kind == "ins", "is_clipped": kind == "clip",
-            "is_primary": True, "ins_seq": base[at : at + r.choice([4, 60, 100, 150])] if kind == "ins" else None, "aln_key": str(i), "loaded_at": dt.datetime(2024, 1, 1 + i % 20),
+            "is_primary": maybe(r, r.random() < 0.7), "ins_seq": base[at : at + r.choice([4, 60, 100, 150])] if kind == "ins" else None, "aln_key": str(i), "loaded_at": dt.datetime(2024, 1, 1 + i % 20),
         })
     place = {"genome_id": "T01", "is_insertion": False, "is_clipped": False, "is_pass": "PASS", "mapq": 60, "ref_id": "chr01", "ref_start": 100_100, "ref_end": 100_400, "ins_seq": None}
     rows += [rows[0] | place | {"seg_id": n + k, "read_id": f"m{k}", "mismatch_rate": 90 if k < 6 else 2} for k in range(11)]

@@ -4,10 +4,10 @@ import duckdb
 import planted
 import pytest
 
-from strandline.plans import reference, reference_joins
+from strandline.plans import reference, reference_calls, reference_joins
 
-QUERIES = reference.QUERIES | reference_joins.QUERIES
-SQL = reference.SQL | reference_joins.SQL
+QUERIES = reference.QUERIES | reference_joins.QUERIES | reference_calls.QUERIES
+SQL = reference.SQL | reference_joins.SQL | reference_calls.SQL
 
 
 @pytest.fixture(scope="module")
