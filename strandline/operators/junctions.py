@@ -201,8 +201,10 @@ def similar_neighbours(segments: DataFrame, within: int = 2000, share: float = 0
     rows = segments.where("is_insertion and is_pass = 'PASS' and ins_seq is not null").select("ref_id", "ref_end", "seg_id", "ins_seq")
     near = islands.gap_clusters(rows, ["ref_id"], "ref_end", within - 1)
     order = Window.partitionBy("ref_id", "cluster").orderBy("ref_end", "seg_id")
-    both = near.withColumn("k", names.kmers(F.col("ins_seq"))).withColumn("before", F.lag("seg_id").over(order)).withColumn("kb", F.lag("k").over(order))
-    shared = both.where("before is not null").withColumn("shared", F.size(F.array_intersect("k", "kb")))
+    # The sequences are handed on, not their many 6-mers.
+    both = near.withColumn("before", F.lag("seg_id").over(order)).withColumn("seq_before", F.lag("ins_seq").over(order)).where("before is not null")
+    both = both.select("seg_id", "before", names.kmers(F.col("ins_seq")).alias("k"), names.kmers(F.col("seq_before")).alias("kb"))
+    shared = both.withColumn("shared", F.size(F.array_intersect("k", "kb")))
     return shared.where((F.col("shared") > 0) & (F.col("shared") >= share * F.least(F.size("k"), F.size("kb")))).select("seg_id", "before", "shared")
 
 
