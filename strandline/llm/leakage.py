@@ -58,23 +58,30 @@ def index(df: DataFrame, key: str, text: str, vocabulary: set[str] | None) -> Da
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, former = shared.value, Former()
+        term = ids.get if ids is not None else term_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keys, terms, positions = [], [], []
+                keys, terms, flat, ends = [], [], [], [0]
                 for key, message in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     found: dict[int, list[int]] = {}
                     n = 0
                     for body, decoded in mail.texts(former.form(message)):
                         ws = words(body, former if decoded else None)
-                        for k, w in enumerate(ws, n):
-                            if (t := ids.get(w) if ids is not None else term_id(w)) is not None:
-                                found.setdefault(t, []).append(k)
+                        for k, t in enumerate(map(term, ws), n):
+                            if t is not None:
+                                if t in found:
+                                    found[t].append(k)
+                                else:
+                                    found[t] = [k]
                         n += len(ws) + 1
                     keys += [key] * len(found)
-                    terms += found.keys()
-                    positions += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(terms, pa.int64()), pa.array(positions, pa.list_(pa.int32()))], ["key", "term", "positions"])
+                    terms += found
+                    for ps in found.values():
+                        flat += ps
+                        ends.append(len(flat))
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(terms, pa.int64()), positions], ["key", "term", "positions"])
 
     rows = df.where(F.col(text) != "").select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull())
     kind = rows.schema["key"].dataType.simpleString()
