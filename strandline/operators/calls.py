@@ -204,3 +204,89 @@ def component_table(edges: DataFrame, parts: DataFrame) -> DataFrame:
     both = sums.where("n_junctions > 1").join(nodes, "component")
     simple = (F.col("other") == 0) & (F.col("n_rows") <= 1.5 * F.col("n_nodes"))
     return both.select("component", "n_junctions", "n_nodes", "genomes", F.when(simple, "simple").otherwise("complex").alias("kind"), F.when(simple, F.lit(4).cast("long")).otherwise(F.col("n_rows") + 2).alias("rank"))
+
+
+def _directed(rows: DataFrame, *more: str) -> DataFrame:
+    """Both ends of junctions as rows (chr, pos, dir)."""
+    return rows.select("genome_id", "junction_key", *more, F.inline(F.array(*[F.struct(F.col(f"chr_{e}").alias("chr"), F.col(f"pos_{e}").alias("pos"), F.col(f"dir_{e}").alias("dir"), F.col(f"hp{i}").alias("hp"), F.col(f"phaseset{i}").alias("ps")) for i, e in ((1, "a"), (2, "b"))]))).where("dir is not null")
+
+
+def neighbour_segments(rows: DataFrame, contigs: DataFrame, longest: int = 2_000_000, flank: int = 10_000) -> DataFrame:
+    """For each end that keeps its right side, where the segment that begins there ends: (genome_id, junction_key, chr, start_pos, end_pos, level).
+
+    Level 1: the nearest facing end whose junction shares a supporting read. Level 2: else the nearest facing end that isn't on the other haplotype of the same phase set and
+    whose support differs by less than the smaller one. Level 3: else longest away, but flank before the contig's end at most.
+    Ends of the same genome only, no farther than longest; a junction's own ends count too. Rows without support can't be reached on level 2.
+    """
+    left = _directed(rows, "supp", "supp_read_ids").where("dir = -1")
+    right = _directed(rows, "supp", "supp_read_ids").where("dir = 1")
+    own = left.select("genome_id", "junction_key", "chr", F.col("pos").alias("start_pos")).distinct()
+    key = ["genome_id", "junction_key", "chr", "start_pos"]
+
+    far = right.select("genome_id", "chr", F.col("pos").alias("r_pos"), F.explode("supp_read_ids").alias("read")).distinct()
+    reads = left.select(*key[:3], F.col("pos").alias("start_pos"), F.explode("supp_read_ids").alias("read")).distinct()
+    first = reads.join(far, ["genome_id", "chr", "read"]).where(F.col("r_pos").between(F.col("start_pos") + 1, F.col("start_pos") + longest))
+    first = first.groupBy(*key).agg(F.min("r_pos").alias("end_1"))
+
+    a = left.select(*key[:3], F.col("pos").alias("start_pos"), F.col("hp").alias("a_hp"), F.col("ps").alias("a_ps"), F.col("supp").alias("a_supp"))
+    b = right.select("genome_id", "chr", F.col("pos").alias("r_pos"), F.col("hp").alias("b_hp"), F.col("ps").alias("b_ps"), F.col("supp").alias("b_supp"))
+    met = ranges.near_pairs(a, b, ["genome_id", "chr"], "start_pos", "r_pos", longest).where("r_pos > start_pos")
+    apart = F.coalesce((F.col("a_ps") == F.col("b_ps")) & (F.col("a_hp") > 0) & (F.col("b_hp") > 0) & (F.col("a_hp") != F.col("b_hp")), F.lit(False))
+    second = met.where(~apart & (F.abs(F.col("a_supp") - F.col("b_supp")) < F.least("a_supp", "b_supp"))).groupBy(*key).agg(F.min("r_pos").alias("end_2"))
+
+    ends = own.join(first, key, "left").join(second, key, "left").join(contigs.select(F.col("ref_id").alias("chr"), "length"), "chr")
+    last = F.greatest(F.least(F.col("start_pos") + longest, F.col("length") - flank), F.col("start_pos"))
+    level = F.when(F.col("end_1").isNotNull(), 1).when(F.col("end_2").isNotNull(), 2).otherwise(3)
+    return ends.select(*key, F.coalesce("end_1", "end_2", last).alias("end_pos"), level.alias("level"))
+
+
+def spanning_share(rows: DataFrame, spanning: DataFrame) -> DataFrame:
+    """Reference reads and share of support from the segments that span a junction's ends: (junction_key, genome_id, dv, dr, vaf).
+
+    dr is the whole mean of both ends' segments, or for an insertion those of its place less its support, at least 0. spanning: position_coverage.
+    """
+    sums = spanning.select("ref_id", "position", "genome_id", (F.col("h0") + F.col("h1") + F.col("h2")).alias("n"))
+    dv = rows.where("is_pass <> 'FAIL_MERGED_HP'").groupBy("junction_key", "genome_id", "chr_a", "pos_a", "chr_b", "pos_b").agg(F.coalesce(F.sum("supp"), F.lit(0)).alias("dv"))
+    for e in "ab":
+        dv = dv.join(sums.select(F.col("ref_id").alias(f"chr_{e}"), F.col("position").alias(f"pos_{e}"), "genome_id", F.col("n").alias(f"n_{e}")), [f"chr_{e}", f"pos_{e}", "genome_id"], "left")
+    na, nb = (F.coalesce(f"n_{e}", F.lit(0)) for e in "ab")
+    dr = F.when(F.col("pos_b").isNull(), F.greatest(na - F.col("dv"), F.lit(0))).otherwise(F.floor((na + nb) / 2))
+    both = dv.withColumn("dr", dr)
+    return both.select("junction_key", "genome_id", "dv", "dr", F.when(F.col("dv") + F.col("dr") > 0, F.col("dv") / (F.col("dv") + F.col("dr"))).alias("vaf"))
+
+
+def lone_clusters(clusters: DataFrame, rows: DataFrame, within: int = 100) -> DataFrame:
+    """End clusters (chr, position, ...) with no junction end nearer than within."""
+    known = _directed(rows).select("chr", "pos").distinct().withColumns({"low": F.col("pos") - (within - 1), "high": F.col("pos") + (within - 1)}).drop("pos")
+    return ranges.points_in_intervals(clusters, known, ["chr"], "position", "low", "high", 1000, "left_anti")
+
+
+def shared_ends(rows: DataFrame) -> DataFrame:
+    """Junctions of a genome that share an end, each with the next one by key, where their supports balance: (genome_id, chr, pos, key_x, key_y)."""
+    ends = _directed(rows.where("supp is not null"), "supp").select("genome_id", "chr", "pos", "dir", "junction_key", "supp").distinct()
+    order = Window.partitionBy("genome_id", "chr", "pos", "dir").orderBy("junction_key", "supp")
+    both = ends.withColumn("y", F.lead(F.struct("junction_key", "supp")).over(order)).where("y is not null")
+    return both.where(F.abs(F.col("supp") - F.col("y.supp")) < F.least("supp", "y.supp")).select("genome_id", "chr", "pos", F.col("junction_key").alias("key_x"), F.col("y.junction_key").alias("key_y"))
+
+
+def final_calls(rows: DataFrame) -> DataFrame:
+    """Passed junctions with passed share and a quality, in the sets all and, if somatic, somatic as well; one-sided ones need a share of 0.25 and a quality above 55."""
+    good = rows.where("is_pass = 'PASS' and vcf_qual > 0 and ((not is_single and vaf_pass = 'PASS') or (is_single and vaf >= 0.25 and vcf_qual > 55))")
+    return good.select("junction_key", "genome_id", F.explode(F.when(F.col("mut_type") == "somatic", F.array(F.lit("all"), F.lit("somatic"))).otherwise(F.array(F.lit("all")))).alias("set"))
+
+
+def genome_sets(rows: DataFrame) -> DataFrame:
+    """Junctions by the set of genomes that carry them."""
+    sets = rows.groupBy("junction_key").agg(F.array_join(F.array_sort(F.collect_set("genome_id")), ",").alias("genomes"))
+    return sets.groupBy("genomes").agg(F.count(F.lit(1)).alias("n_junctions"))
+
+
+def cluster_rows(edges: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row per junction of a component with more than one: its component, ends' orientation, support and genomes."""
+    of = edges.join(parts.withColumnRenamed("node", "src"), "src").select("junction_key", "component").distinct()
+    several = of.groupBy("component").agg(F.count_distinct("junction_key").alias("k")).where("k > 1").select("component")
+    own = rows.groupBy("junction_key").agg(
+        F.max("chr_a").alias("chr_a"), F.max("chr_b").alias("chr_b"), F.max("dir_a").alias("dir_a"), F.max("dir_b").alias("dir_b"), F.sum("supp").alias("supp"), F.array_join(F.array_sort(F.collect_set("genome_id")), ",").alias("genomes")
+    )
+    turn = F.when(F.col("chr_a") != F.col("chr_b"), "Interchr").otherwise(F.concat(F.when(F.col("dir_a") > 0, "H").otherwise("T"), F.when(F.col("dir_b") > 0, "H").otherwise("T")))
+    return of.join(several, "component", "left_semi").join(own, "junction_key").select("component", "junction_key", turn.alias("orientation"), "supp", "genomes")

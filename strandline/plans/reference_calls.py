@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import calls, graph, segments
+from strandline.operators import calls, graph, junctions, segments
 from strandline.plans.reference import JUN, PAIRS, SEG, _COV, _islands, _jun, _seg
-from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _repeats
+from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _positions, _repeats
+from strandline.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +165,66 @@ from s join n using (component) where n_junctions > 1""")
 def component_table(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     return calls.component_table(edges, graph.components(edges, "src", "dst"))
+
+
+_FACE = """e as (select genome_id, junction_key, supp, supp_read_ids, chr_a chr, pos_a pos, dir_a dir, hp1 hp, phaseset1 ps from jun where dir_a is not null
+  union all select genome_id, junction_key, supp, supp_read_ids, chr_b, pos_b, dir_b, hp2, phaseset2 from jun where dir_b is not null),
+l as (select * from e where dir = -1), r as (select * from e where dir = 1)"""
+
+
+@query(f"""with {JUN}, {_FACE},
+one as (select l.genome_id, l.junction_key, l.chr, l.pos, min(r.pos) e from l join r on l.genome_id = r.genome_id and l.chr = r.chr and r.pos > l.pos and r.pos - l.pos <= 2000000 where list_has_any(l.supp_read_ids, r.supp_read_ids) group by all),
+two as (select l.genome_id, l.junction_key, l.chr, l.pos, min(r.pos) e from l join r on l.genome_id = r.genome_id and l.chr = r.chr and r.pos > l.pos and r.pos - l.pos <= 2000000
+  where not coalesce(l.ps = r.ps and l.hp > 0 and r.hp > 0 and l.hp <> r.hp, false) and abs(l.supp - r.supp) < least(l.supp, r.supp) group by all),
+o as (select distinct genome_id, junction_key, chr, pos from l)
+select genome_id, junction_key, chr, pos start_pos, coalesce(one.e, two.e, greatest(least(pos + 2000000, length - 10000), pos)) end_pos, (case when one.e is not null then 1 when two.e is not null then 2 else 3 end)::int as level
+from o left join one using (genome_id, junction_key, chr, pos) left join two using (genome_id, junction_key, chr, pos) join contigs on ref_id = chr""")
+def neighbour_segments(spark: SparkSession, d: str) -> DataFrame:
+    return calls.neighbour_segments(_jun(spark, d), load(spark, d, "contigs"))
+
+
+@query(f"""with {SEG}, {JUN}, pts as (select distinct chr_a ref_id, pos_a as position from jun where pos_a is not null union select chr_b, pos_b from jun where pos_b is not null),
+cov as (select ref_id, position, genome_id, count(*) n from pts join split using (ref_id) where position > ref_start and position < ref_end and mapq > 10 group by all),
+v as (select junction_key, genome_id, chr_a, pos_a, chr_b, pos_b, coalesce(sum(supp), 0)::bigint dv from jun where is_pass <> 'FAIL_MERGED_HP' group by all),
+x as (select v.*, coalesce(a.n, 0) na, coalesce(b.n, 0) nb from v left join cov a on a.ref_id = chr_a and a.position = pos_a and a.genome_id = v.genome_id left join cov b on b.ref_id = chr_b and b.position = pos_b and b.genome_id = v.genome_id),
+y as (select junction_key, genome_id, dv, case when pos_b is null then greatest(na - dv, 0) else (na + nb) // 2 end dr from x)
+select *, round(case when dv + dr > 0 then dv / (dv + dr) end, 6) vaf from y""")
+def spanning_share(spark: SparkSession, d: str) -> DataFrame:
+    j = _jun(spark, d)
+    return calls.spanning_share(j, junctions.position_coverage(_positions(j), _seg(spark, d))).withColumn("vaf", F.round("vaf", 6))
+
+
+@query(f"""with {JUN}, {PAIRS.strip()}, ends as (select chr_a chr, dir_a dir, pos_a pos, passed from pairs union all select chr_b, dir_b, pos_b, passed from pairs){_islands("ends", "chr, dir", "pos", 50, "cluster", "ec")},
+c as (select chr, dir, cluster, floor(coalesce(median(pos) filter (passed), median(pos)))::bigint as position, count(*) n from ec group by chr, dir, cluster having count(*) >= 2),
+k as (select chr_a c, pos_a p from jun where dir_a is not null union select chr_b, pos_b from jun where dir_b is not null)
+select chr, dir, position, n from c where not exists (select 1 from k where k.c = chr and abs(p - position) < 100)""")
+def lone_end_clusters(spark: SparkSession, d: str) -> DataFrame:
+    found = junctions.end_clusters(junctions.end_positions(segments.adjacent_pairs(_seg(spark, d)))).select("chr", "dir", "position", "n")
+    return calls.lone_clusters(found, _jun(spark, d))
+
+
+@query(f"""with {JUN}, e as (select distinct genome_id, chr, pos, dir, junction_key, supp from (select genome_id, chr_a chr, pos_a pos, dir_a dir, junction_key, supp from jun union all select genome_id, chr_b, pos_b, dir_b, junction_key, supp from jun) where dir is not null and supp is not null),
+b as (select *, lead(struct_pack(k := junction_key, s := supp)) over (partition by genome_id, chr, pos, dir order by junction_key, supp) y from e)
+select genome_id, chr, pos, junction_key key_x, y.k key_y from b where y is not null and abs(supp - y.s) < least(supp, y.s)""")
+def shared_ends(spark: SparkSession, d: str) -> DataFrame:
+    return calls.shared_ends(_jun(spark, d))
+
+
+@query(f"""with {JUN}, g as (select * from jun where is_pass = 'PASS' and vcf_qual > 0 and ((not is_single and vaf_pass = 'PASS') or (is_single and vaf >= 0.25 and vcf_qual > 55)))
+select junction_key, genome_id, 'all' "set" from g union all select junction_key, genome_id, 'somatic' from g where mut_type = 'somatic'""")
+def final_calls(spark: SparkSession, d: str) -> DataFrame:
+    return calls.final_calls(_jun(spark, d))
+
+
+@query(f"""with {JUN}, s as (select junction_key, string_agg(distinct genome_id, ',' order by genome_id) genomes from jun group by all) select genomes, count(*) n_junctions from s group by all""")
+def genome_sets(spark: SparkSession, d: str) -> DataFrame:
+    return calls.genome_sets(_jun(spark, d))
+
+
+@query(f"""{_REACH}, k as (select distinct junction_key, component from edges join comp on node = src),
+j as (select junction_key, max(chr_a) ca, max(chr_b) cb, max(dir_a) da, max(dir_b) db, sum(supp)::bigint supp, string_agg(distinct genome_id, ',' order by genome_id) genomes from jun group by all)
+select component, junction_key, case when ca <> cb then 'Interchr' else case when da > 0 then 'H' else 'T' end || case when db > 0 then 'H' else 'T' end end orientation, supp, genomes
+from k join j using (junction_key) where component in (select component from k group by all having count(*) > 1)""")
+def cluster_rows(spark: SparkSession, d: str) -> DataFrame:
+    edges = _edges(spark, d)
+    return calls.cluster_rows(edges, graph.components(edges, "src", "dst"), _jun(spark, d))
