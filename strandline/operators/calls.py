@@ -16,7 +16,7 @@ def matched_ends(pairs: DataFrame, gap: int = 50, least: int = 2) -> DataFrame:
     ends = junctions.end_positions(pairs)
     placed = cut(islands.gap_clusters(cut(ends), ["chr", "dir"], "pos", gap))
     sizes = placed.groupBy("chr", "dir", "cluster").agg(F.count(F.lit(1)).alias("n"))
-    in_large = join_per_key(placed, sizes.where(F.col("n") >= least), ["chr", "dir", "cluster"], "n")
+    in_large = join_per_key(placed, cut(sizes.where(F.col("n") >= least)), ["chr", "dir", "cluster"], "n")
     return in_large.groupBy("genome_id", "read_id", "seg_id").agg(F.count(F.lit(1)).alias("n_ends"))
 
 
@@ -71,9 +71,9 @@ def consensus(segments: DataFrame, gap: int = 1000, share: float = 0.7, slack: i
     sized = cut(islands.value_clusters(placed, ["ref_id", "cluster"], "segment_length", F.greatest(F.lit(50.0), 0.25 * F.col("_before"))))
     key = ["ref_id", "cluster", "level"]
     middle = sized.groupBy(*key).agg(F.floor(F.median("ref_end")).alias("mp"), F.floor(F.median("segment_length")).alias("ml"), F.count(F.lit(1)).alias("n"))
-    scored = join_per_key(sized, middle, key, "n").withColumn("score", F.abs(F.col("ref_end") - F.col("mp")) + F.abs(F.col("segment_length") - F.col("ml")))
+    scored = join_per_key(sized, cut(middle), key, "n").withColumn("score", F.abs(F.col("ref_end") - F.col("mp")) + F.abs(F.col("segment_length") - F.col("ml")))
     first = scored.groupBy(*key).agg(F.min(F.struct("score", "seg_id", "ins_seq", "segment_length")).alias("f"), F.count(F.lit(1)).alias("n"))
-    both = join_per_key(sized, first, key, "n")
+    both = join_per_key(sized, cut(first), key, "n")
     k, rep = names.kmers(F.col("ins_seq")), names.kmers(F.col("f.ins_seq"))
     enough = share * F.size(rep) - F.greatest(F.abs(F.col("segment_length") - F.col("f.segment_length")), F.lit(slack))
     return both.where(F.size(F.array_intersect(k, rep)) > enough).select("seg_id", F.col("f.seg_id").alias("representative"))

@@ -20,7 +20,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     links = cut(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def stars(both: DataFrame, only_larger: bool) -> DataFrame:
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count(F.lit(1)).alias("n"))
+        low = cut(both.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count(F.lit(1)).alias("n")))
         met = join_per_key(both, low, ["u"], "n")
         if only_larger:
             return met.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))

@@ -12,14 +12,15 @@ HOT_SHARE = 500
 def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str) -> DataFrame:
     """Inner join of rows with per_key, which has one row for each value of keys and in column count the number of rows with it.
 
-    The fewer than HOT_SHARE hot keys are broadcast, so rows of a hot key stay where they are; only rows of the other keys are shuffled.
-    Rows with a null in a key have no partner and are dropped, as in any inner join. per_key is used several times: pass a written
-    table or a cheap plan.
+    The fewer than HOT_SHARE hot keys are broadcast, so rows of a hot key stay where they are; only rows of the other keys are shuffled. Without a hot
+    key it is a plain join. Rows with a null in a key have no partner and are dropped, as in any inner join. per_key is read several times, once to
+    look for hot keys right away: pass a written table. Spark isn't left to broadcast it, since its size estimates of such tables are too low.
     """
-    total = per_key.agg(F.sum(count).alias("n"))
-    is_hot: Column = F.col(count) * HOT_SHARE > total.scalar()
-    hot = F.broadcast(per_key.where(is_hot).drop(count))
-    cold = per_key.where(~is_hot).drop(count)
-    in_hot = rows.join(hot, keys)
-    rest = rows.join(hot.select(*keys), keys, "left_anti")
-    return in_hot.unionByName(rest.join(cold, keys))
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    is_hot: Column = F.col(count) * HOT_SHARE > total
+    hot = per_key.where(is_hot).drop(count)
+    if hot.isEmpty():
+        return rows.join(per_key.drop(count).hint("merge"), keys)
+    in_hot = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return in_hot.unionByName(rest.join(per_key.where(~is_hot).drop(count).hint("merge"), keys))
