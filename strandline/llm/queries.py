@@ -22,7 +22,7 @@ def _measures(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "segments").select("genome_id", "seg_id", "run_date", pairs.alias("field", "value"))
 
 
-def p1_daily_percentiles(spark: SparkSession, d: str) -> DataFrame:
+def p1_monthly_percentiles(spark: SparkSession, d: str) -> DataFrame:
     """Percentiles per genome and month, from sketches of the months."""
     keys = ["genome_id", "field", "month"]
     monthly = quantile_sketch.sketch(_measures(spark, d).withColumn("month", F.date_format("run_date", "yyyy-MM")), keys, "value")
@@ -122,7 +122,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_daily_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
+    f.__name__: f for f in (p1_percentiles, p1_monthly_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
 }
 
 _GROUPS = """
