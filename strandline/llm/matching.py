@@ -54,24 +54,18 @@ def top(pairs: DataFrame, side: str, k: int) -> DataFrame:
 
 
 def mutual(pairs: DataFrame) -> DataFrame:
-    """Adds is_mutual (both are the other's nearest, ties included) and gap, by how much the score exceeds the best other pair of either record.
+    """Adds is_mutual (both are the other's nearest, ties included) and gap, by how much the score exceeds that of the query's best other record.
 
-    A pair that is not the best of one of its records has a gap below 0; without another pair the gap is the whole score.
+    A pair that is not its query's best has a gap below 0; without another record the gap is the whole score. Other queries of the record
+    don't lessen the gap, for several queries may rightly have one record.
     """
-    for side in ("query", "doc"):
-        order = Window.partitionBy(side).orderBy(F.desc("score"), "query", "doc")
-        other = "doc" if side == "query" else "query"
-        whole = Window.partitionBy(side)
-        best = F.max("score").over(whole)
-        second = F.coalesce(F.max(F.when(F.col(f"_n_{side}") == 2, F.col("score"))).over(whole), F.lit(0.0))
-        pairs = pairs.withColumn(f"_n_{side}", F.row_number().over(order))
-        rival = F.when(F.col(f"_n_{side}") == 1, second).otherwise(best)
-        pairs = pairs.withColumn(f"_gap_{side}", F.col("score") - rival).withColumn(f"_best_{side}", F.col("score") == best)
-    return pairs.select(
-        *[c for c in pairs.columns if not c.startswith("_")],
-        (F.col("_best_query") & F.col("_best_doc")).alias("is_mutual"),
-        F.least("_gap_query", "_gap_doc").alias("gap"),
-    )
+    of_query, of_doc = Window.partitionBy("query"), Window.partitionBy("doc")
+    ranked = pairs.withColumn("_n", F.row_number().over(of_query.orderBy(F.desc("score"), "doc")))
+    best = F.max("score").over(of_query)
+    second = F.coalesce(F.max(F.when(F.col("_n") == 2, F.col("score"))).over(of_query), F.lit(0.0))
+    rival = F.when(F.col("_n") == 1, second).otherwise(best)
+    is_mutual = (F.col("score") == best) & (F.col("score") == F.max("score").over(of_doc))
+    return ranked.withColumns({"is_mutual": is_mutual, "gap": F.col("score") - rival}).drop("_n")
 
 
 def calibrate(pairs: DataFrame, label: Column, step: float = 0.25, most: float = 64.0) -> tuple[float, float]:
