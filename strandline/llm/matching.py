@@ -239,11 +239,14 @@ def candidates(call_rows: DataFrame, panel_rows: DataFrame) -> DataFrame:
 
 
 def matches(call_rows: DataFrame, panel_rows: DataFrame, k: int = 10) -> DataFrame:
-    """The k best panel records of each call with confidence: (call_id, panel_id, score, is_mutual, confidence).
+    """Every pair that agrees, and the k best panel records of each call, with confidence: (call_id, panel_id, score, is_mutual, confidence).
 
-    confidence is the calibrated chance that a pair of this gap describes the same rearrangement; pairs that tie with the k-th stay.
+    confidence is the calibrated chance that a pair of this gap describes the same rearrangement; pairs that tie with the k-th stay. k bounds only
+    pairs that don't agree. Of several records of the same two ids one that agrees counts, of these the one with the best score.
     """
     found = cut(mutual(candidates(call_rows, panel_rows)))
     intercept, slope = calibrate(found, F.col("agrees"))
     chance = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("gap"))))
-    return top(found, "query", k).select("call_id", "panel_id", "score", "is_mutual", chance.alias("confidence")).dropDuplicates(["call_id", "panel_id"])
+    kept = top(found, "query", k).unionByName(found.where("agrees"))
+    best = F.max(F.struct("agrees", "score", "is_mutual", chance.alias("confidence"))).alias("b")
+    return kept.groupBy("call_id", "panel_id").agg(best).select("call_id", "panel_id", "b.score", "b.is_mutual", "b.confidence")

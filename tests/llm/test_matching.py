@@ -69,6 +69,16 @@ def test_matches_have_score_mutual_test_and_confidence(spark):
     assert m.top(spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 0.5)], "query string, score double"), "query", 1).count() == 2
 
 
+def test_every_agreeing_pair_has_a_confidence(spark):
+    """More than k records of one place agree with a call, and as many of the same cell that don't agree compete for the k places."""
+    calls = [(i, "chr01", 10_000 + i, "DEL", 100, "chr01", 10_100 + i) for i in range(3)] + [(9, "chr01", 90_000, "DEL", 100, "chr01", 90_100)]
+    panel = [(i, "1", 10_000 + i % 7, None, 10_100, "DEL", -100, [-5, 5], [-5, 5]) for i in range(25)] + [(100 + i, "1", 10_000, None, 10_900, "DEL", -900, [-5, 5], [-5, 5]) for i in range(25)]
+    c, p = frames(spark, calls, panel)
+    want = {(x[0], y[0]) for x in calls for y in panel if agrees(x, y)}
+    got = {(x["call_id"], x["panel_id"]): x["confidence"] for x in m.matches(c, p, k=4).collect()}
+    assert len(want) == 75 and all(got.get(pair) is not None for pair in want)
+
+
 def test_calibration_follows_the_labels(spark):
     df = spark.range(4000).select(((F.col("id") % 41) - 20.0).alias("gap"), (F.col("id") % 41 > 25).alias("yes"))
     a, b = m.calibrate(df, F.col("yes"))
