@@ -1,5 +1,8 @@
+import collections
+import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import matching as m
@@ -79,6 +82,43 @@ def test_every_agreeing_pair_has_a_confidence(spark):
     assert len(want) == 75 and all(got.get(pair) is not None for pair in want)
 
 
+def brute_scores(queries, docs):
+    """BM25 of all pairs that share a token, from the rows of queries and docs."""
+    tokens = {d["id"]: set(d["anchors"]) | set(d["others"]) for d in docs}
+    df = collections.Counter(t for s in tokens.values() for t in s)
+    avg = sum(map(len, tokens.values())) / len(tokens)
+    idf = {t: math.log(1 + (len(tokens) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+    part = {d: (m.K1 + 1) / (1 + m.K1 * (1 - m.B + m.B * len(s) / avg)) for d, s in tokens.items()}
+    pairs = {(q["id"], d): sum(idf[t] for t in s & (set(q["anchors"]) | set(q["others"]))) * part[d] for q in queries for d, s in tokens.items() if s & (set(q["anchors"]) | set(q["others"]))}
+    return {pair: round(x, 6) for pair, x in pairs.items()}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_the_k_best_are_those_over_all_attributes(spark, seed):
+    """Also records that share no cell with a call, which were never scored."""
+    calls, panel = data(random.Random(seed), 60)
+    calls += [(900 + i, "chr01", 50_000 * i, "DEL", 70, "chr01", 50_000 * i + 70) for i in range(1, 12)]
+    panel += [(900 + i, "1", 50_000 * i + 30_000, None, 50_000 * i + 30_070, "DEL", -70, [-5, 5], [-5, 5]) for i in range(1, 12)]
+    panel += [(950, "1", 650, None, 650 + 60, "DEL", -60, [-5, 5], None), (951, "1", 200_000, None, 50_069, "DEL", -70, [-5, 5], [-5, 5])]
+    c, p, levels = m._records(*frames(spark, calls, panel))
+    asked, docs = m.call_tokens(c, levels).collect(), m.panel_tokens(p).collect()
+    want = brute_scores(asked, docs)
+    got = {(x["query"], x["doc"]): x for x in m.ranked(m.call_tokens(c, levels), m.panel_tokens(p), 4).collect()}
+    assert all(abs(x["score"] - want[pair]) < 1e-5 for pair, x in got.items())
+    doc_best = collections.defaultdict(float)
+    for (_, d), x in want.items():
+        doc_best[d] = max(doc_best[d], x)
+    assert all(abs(x["doc_best"] - doc_best[d]) < 1e-5 for (_, d), x in got.items())
+    unanchored = 0
+    anchors = {d["id"]: set(d["anchors"]) for d in docs}
+    for q in asked:
+        best = sorted((x for (a, _), x in want.items() if a == q["id"]), reverse=True)[:4]
+        mine = sorted((x["score"] for (a, _), x in got.items() if a == q["id"]), reverse=True)[:4]
+        assert len(mine) == len(best) and all(abs(x - y) < 1e-5 for x, y in zip(mine, best))
+        unanchored += sum(not anchors[d] & set(q["anchors"]) and x["score"] >= best[-1] - 1e-5 for (a, d), x in got.items() if a == q["id"])
+    assert unanchored > 50
+
+
 def test_calibration_follows_the_labels(spark):
     df = spark.range(4000).select(((F.col("id") % 41) - 20.0).alias("gap"), (F.col("id") % 41 > 25).alias("yes"))
     a, b = m.calibrate(df, F.col("yes"))
