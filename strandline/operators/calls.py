@@ -103,7 +103,7 @@ def region_depth(rows: DataFrame, coverage: DataFrame, inside: bool, flank: int
 
 
 def coverage_calls(rows: DataFrame, coverage: DataFrame, dup_share: float = 0.5, del_share: float = 1.5, longest: int = 2_000_000) -> DataFrame:
-    """Duplications and deletions that coverage bears out: inside deeper than the flanks by dup_share of the support, or lower by del_share of it."""
+    """Duplications and deletions that mean coverage alone bears out, without the cases that need none (typed_by_coverage has all): inside deeper than the flanks by dup_share of the support, or lower by del_share of it."""
     own = rows.where(f"vcf_sv_type in ('DUP', 'DEL') and chr_a = chr_b and pos_b > pos_a and pos_b - pos_a <= {longest} and supp is not null")
     key = ["junction_key", "genome_id", "haplotype"]
     own = own.withColumn("haplotype", F.coalesce("hp1", F.lit(0)))
@@ -114,6 +114,59 @@ def coverage_calls(rows: DataFrame, coverage: DataFrame, dup_share: float = 0.5,
     return both.withColumn("call", call).where("call is not null").select(*key, "call")
 
 
+def _median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], block: int = 1024) -> DataFrame:
+    """Whole median of segments per bin over the ranges [low, high] of bins of each key: (*key, depth). wanted: (*key, haplotype, ref_id, low, high), key with genome_id.
+
+    Whole blocks of bins are read as counts by depth, only a range's edges bin by bin, so a long range costs few rows; bins without segments count as 0.
+    """
+    place = ["genome_id", "haplotype", "ref_id"]
+    first, last = F.ceil(F.col("low") / block), F.floor((F.col("high") + 1) / block)
+    none = F.array().cast("array<bigint>")
+    upto = lambda a, b: F.when(a <= b, F.sequence(a.cast("long"), b.cast("long"))).otherwise(none)
+    edges = F.when(first < last, F.concat(upto(F.col("low"), first * block - 1), upto(last * block, F.col("high")))).otherwise(upto(F.col("low"), F.col("high")))
+    own, blocks = list(dict.fromkeys([*key, *place])), upto(first, last - 1)
+    counts = coverage.withColumn("block", F.floor(F.col("bin") / block)).groupBy(*place, "block", "n").agg(F.count(F.lit(1)).alias("c"))
+    met = wanted.select(*own, F.explode(edges).alias("bin")).join(coverage, [*place, "bin"]).select(*key, "n", F.lit(1).cast("long").alias("c"))
+    met = met.unionByName(wanted.select(*own, F.explode(blocks).alias("block")).join(counts, [*place, "block"]).select(*key, "n", "c"))
+    by = met.groupBy(*key, "n").agg(F.sum("c").alias("c"))
+    held, whole = by.groupBy(*key).agg(F.sum("c").alias("held")), wanted.groupBy(*key).agg(F.sum(F.greatest(F.col("high") - F.col("low") + 1, F.lit(0))).alias("bins"))
+    empty = whole.join(held, key, "left").select(*key, F.lit(0).cast("long").alias("n"), (F.col("bins") - F.coalesce("held", F.lit(0))).alias("c"))
+    return by.unionByName(empty).where("c > 0").groupBy(*key).agg(F.floor(F.percentile("n", 0.5, F.col("c"))).alias("depth"))
+
+
+def typed_by_coverage(rows: DataFrame, coverage: DataFrame, contigs: DataFrame, dup_share: float = 0.5, del_share: float = 1.5, short: int = 10_000, small: int = 5000, flank: int = 5) -> DataFrame:
+    """Duplications and deletions among passed junctions by orientation, of any length: (junction_key, genome_id, haplotype, call).
+
+    Deletions of at most short, and deletions and duplications without an end of a passed junction of at most small strictly between their ends, need no
+    coverage, nor do known duplications. Others need a median of segments per bin that is deeper inside than in the flanks by dup_share of the support, or
+    lower by del_share of it: inside are the bins from the first end's to the second's, of the first end's haplotype; flanks are the flank bins
+    before that, of the same haplotype, and flank bins from the second end's on, of the second end's haplotype.
+    """
+    passed = rows.where("is_pass = 'PASS' and pos_b is not null")
+    ends = passed.where(F.col("length") <= small).select(F.inline(F.array(*[F.struct(F.col(f"chr_{e}").alias("chr_a"), F.col(f"pos_{e}").alias("end")) for e in "ab"])))
+    key = ["junction_key", "genome_id", "haplotype", "second"]
+    own = passed.withColumns({"haplotype": F.coalesce("hp1", F.lit(0)), "second": F.coalesce("hp2", F.lit(0)), "known": F.coalesce("is_dup", F.lit(False))})
+    own = own.withColumns({"is_del": F.coalesce((F.col("dir_a") == 1) & (F.col("dir_b") == -1), F.lit(False)), "is_dup": F.coalesce((F.col("dir_a") == -1) & (F.col("dir_b") == 1), F.lit(False))})
+    own = own.where("chr_a = chr_b and pos_b >= pos_a and (is_del or is_dup or known)").select(*key, "chr_a", "pos_a", "pos_b", "supp", "is_del", "is_dup", "known", (-F.col("pos_a") - 1).alias("back"))
+    # Mirrored, the next end to the right is the last one before.
+    near = ranges.last_before(own, ends.withColumn("at", -F.col("end")), ["chr_a"], "back", "at", "end")
+    alone = F.col("end").isNull() | (F.col("end") >= F.col("pos_b"))
+    sure = F.when(F.col("is_del"), alone | (F.col("pos_b") - F.col("pos_a") <= short)).otherwise(alone | F.col("known"))
+    judged = cut(near.withColumn("sure", sure).join(contigs.select(F.col("ref_id").alias("chr_a"), F.floor(F.col("length") / 1000).alias("top")), "chr_a", "left"))
+
+    open_ = judged.where("not sure").withColumns({"lo": F.floor(F.col("pos_a") / 1000), "hi": F.floor(F.col("pos_b") / 1000)}).select(*key, F.col("chr_a").alias("ref_id"), "lo", "hi", F.coalesce("top", F.col("hi") + flank).alias("top")).distinct()
+    inside = open_.select(*key, "ref_id", F.col("lo").alias("low"), F.least("hi", "top").alias("high"))
+    sides = F.array(F.struct(F.col("haplotype").alias("own"), F.greatest(F.col("lo") - flank, F.lit(0)).alias("low"), (F.col("lo") - 1).alias("high")), F.struct(F.col("second").alias("own"), F.col("hi").alias("low"), F.least(F.col("hi") + flank - 1, "top").alias("high")))
+    # In the flanks a bin's haplotype is that of its side, so the key carries the first end's under another name.
+    around = open_.select("junction_key", "genome_id", F.col("haplotype").alias("first"), "second", "ref_id", F.inline(sides)).withColumnRenamed("own", "haplotype")
+    outside = _median_depth(around, coverage, ["junction_key", "genome_id", "first", "second"]).select("junction_key", "genome_id", F.col("first").alias("haplotype"), "second", F.col("depth").alias("outside"))
+    depths = _median_depth(inside, coverage, key).withColumnRenamed("depth", "inside").join(outside, key)
+    both = judged.join(depths, key, "left")
+    lower, deeper = F.col("inside") < F.col("outside") - del_share * F.col("supp"), F.col("inside") > F.col("outside") + dup_share * F.col("supp")
+    call = F.when(F.col("is_del") & (F.col("sure") | lower), "DEL").when(F.col("known") | (F.col("is_dup") & (F.col("sure") | deeper)), "tandem_duplication")
+    return both.withColumn("call", call).where("call is not null").select("junction_key", "genome_id", "haplotype", "call").distinct()
+
+
 def complex_inversions(rows: DataFrame, within: int = 2_000_000) -> DataFrame:
     """The nearest partner of each head-to-head junction among tail-to-tail ones of similar support, and what they make together: (key_p, key_m, what)."""
     inv = rows.where("chr_a = chr_b and dir_a = dir_b and supp is not null and pos_b >= pos_a")

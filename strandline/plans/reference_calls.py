@@ -103,6 +103,25 @@ def coverage_calls(spark: SparkSession, d: str) -> DataFrame:
     return calls.coverage_calls(j, segments.coverage_histogram(_seg(spark, d)))
 
 
+@query(f"""with {_COV}, {JUN}, p as (select *, coalesce(hp1, 0) h, coalesce(hp2, 0) h2, coalesce(is_dup, false) known from jun where is_pass = 'PASS' and pos_b is not null),
+e as (select chr_a c, pos_a x from p where length <= 5000 union select chr_b, pos_b from p where length <= 5000),
+o as (select junction_key, genome_id, h, h2, chr_a, pos_a, pos_b, supp, known, coalesce(dir_a = 1 and dir_b = -1, false) del, coalesce(dir_a = -1 and dir_b = 1, false) dup,
+  not exists (select 1 from e where c = chr_a and x > pos_a and x < pos_b) alone from p where chr_a = chr_b and pos_b >= pos_a),
+k as (select distinct junction_key, genome_id, h, h2, chr_a ref_id, pos_a // 1000 lo, pos_b // 1000 hi, coalesce(g.length // 1000, pos_b // 1000 + 5) top from o left join contigs g on g.ref_id = chr_a),
+ib as (select junction_key, genome_id, h, h2, ref_id, h haplotype, unnest(generate_series(lo, least(hi, top))) bin from k),
+ob as (select junction_key, genome_id, h, h2, ref_id, h haplotype, unnest(generate_series(greatest(lo - 5, 0), lo - 1)) bin from k
+  union all select junction_key, genome_id, h, h2, ref_id, h2, unnest(generate_series(hi, least(hi + 4, top))) from k),
+i as (select junction_key, genome_id, h, h2, floor(median(coalesce(n, 0))) d from ib left join cov using (genome_id, haplotype, ref_id, bin) group by all),
+f as (select junction_key, genome_id, h, h2, floor(median(coalesce(n, 0))) d from ob left join cov using (genome_id, haplotype, ref_id, bin) group by all),
+b as (select o.*, i.d inner_d, f.d outer_d from o left join i using (junction_key, genome_id, h, h2) left join f using (junction_key, genome_id, h, h2)),
+t as (select junction_key, genome_id, h haplotype, case when del and (alone or pos_b - pos_a <= 10000 or inner_d < outer_d - 1.5 * supp) then 'DEL'
+  when known or dup and (alone or inner_d > outer_d + 0.5 * supp) then 'tandem_duplication' end call from b)
+select distinct * from t where call is not null""")
+def typed_by_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """All duplications and deletions: short or lone ones as they are, the rest if median coverage bears them out."""
+    return calls.typed_by_coverage(_jun(spark, d), segments.coverage_histogram(_seg(spark, d)), load(spark, d, "contigs"))
+
+
 @query(f"""with {JUN}, i as (select * from jun where chr_a = chr_b and dir_a = dir_b and supp is not null and pos_b >= pos_a),
 m as (select p.junction_key key_p, struct_pack(d := abs(p.pos_a - m.pos_a) + abs(p.pos_b - m.pos_b), k := m.junction_key, pa := p.pos_a, pb := p.pos_b, ma := m.pos_a, mb := m.pos_b) x
   from i p join i m on p.chr_a = m.chr_a and p.dir_a = 1 and m.dir_a = -1 and abs(p.pos_a - m.pos_a) <= 2000000 and abs(p.supp - m.supp) <= least(greatest(0.5 * p.supp, 4), 10)),
