@@ -215,3 +215,20 @@ def position_coverage(positions: DataFrame, segments: DataFrame, min_mapq: int =
     at = positions.select("ref_id", "position").dropna().distinct()
     met = ranges.points_in_intervals(at, spans, ["ref_id"], "position", "low", "high", 10_000)
     return met.groupBy("ref_id", "position", "genome_id").agg(*[F.count_if(F.coalesce(F.col("haplotype"), F.lit(0)) == h).alias(f"h{h}") for h in range(3)])
+
+
+def in_panel(rows: DataFrame, panel: DataFrame, within: int = 2000, apart: int = 150, loose: int = 1000, alike: int = 50, pad: int = 25) -> DataFrame:
+    """Keys of junctions that a panel record matches: its place is within of the first end, or in the junction's padded repeat, and it is near enough.
+
+    Near enough is a difference of at most alike with all differences summing to at most loose, or a sum of at most the wider interval and apart (loose in a
+    repeat). The difference is that of the lengths on one contig, and that of the second places on two. rows: (junction_key, c, c2, pos_a, pos_b, length,
+    rep_low, rep_high), bounds of the repeat or null; panel: (c, p, c2, q, ci), q being the place and the length of an insertion. The junctions
+    here have no intervals of their own, so only the panel's count.
+    """
+    both = panel.unionByName(panel.where("c2 <> c").select(F.col("c2").alias("c"), F.col("q").alias("p"), F.col("c").alias("c2"), F.col("p").alias("q"), "ci")).distinct()
+    in_repeat = F.col("rep_low").isNotNull()
+    spans = rows.withColumns({"low": F.when(in_repeat, F.col("rep_low") - pad).otherwise(F.col("pos_a") - within), "high": F.when(in_repeat, F.col("rep_high") + pad).otherwise(F.col("pos_a") + within)})
+    met = ranges.points_in_intervals(both, spans, ["c", "c2"], "p", "low", "high", 2 * within)
+    off = F.when(F.col("c") == F.col("c2"), F.abs(F.col("q") - F.col("p") - F.col("length"))).otherwise(F.abs(F.col("q") - F.col("pos_b")))
+    total = F.abs(F.col("p") - F.col("pos_a")) + off
+    return met.where(((off <= alike) & (total <= loose)) | (total <= F.col("ci") + F.when(in_repeat, loose).otherwise(apart))).select("junction_key").distinct()

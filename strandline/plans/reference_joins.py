@@ -137,6 +137,29 @@ def panel_matches(spark: SparkSession, d: str) -> DataFrame:
     return met.where(F.abs(F.col("pos_a") - F.col("p")) + F.abs(F.col("pos_b") - F.col("q")) <= F.col("ci") + 150).select("junction_key").distinct()
 
 
+@query(f"""with {JUN}, pon as (select {_NAME.replace('{t}', 'lower(trim(chrom))')} c, pos p, {_NAME.replace('{t}', 'lower(trim(chr2))')} c2, stop_pos q, abs(svlen) len, coalesce(upper(svtype) in ('INS', '<INS>') or upper(svtype) like 'INS:%', false) ins,
+  greatest(coalesce(list_max([abs(x) for x in cipos]), 0), coalesce(list_max([abs(x) for x in ciend]), 0)) ci from panel_records),
+u as (select c, p, case when ins then c else coalesce(c2, c) end c2, case when ins then p + len else q end q, ci from pon),
+m as (select * from u union select c2, q, c, p, ci from u where c2 <> c),
+j as (select junction_key, {_NAME.replace('{t}', 'lower(trim(chr_a))')} c, {_NAME.replace('{t}', 'lower(trim(coalesce(chr_b, chr_a)))')} c2, pos_a, pos_b, coalesce(length, abs(pos_b - pos_a)) l, vntr from jun),
+x as (select junction_key, vntr, abs(p - pos_a) d, case when j.c = j.c2 then abs(q - p - l) else abs(q - pos_b) end o, ci from j join m on j.c = m.c and j.c2 = m.c2
+  where case when vntr is null then abs(p - pos_a) <= 2000 else p between vntr.vntr_start - 25 and vntr.vntr_end + 25 end)
+select distinct junction_key from x where (o <= 50 and d + o <= 1000) or d + o <= ci + case when vntr is null then 150 else 1000 end""")
+def panel_germline(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions that a panel record matches by place and length, with the wider bounds of repeats and insertions by their length."""
+    wide = lambda c: F.coalesce(F.array_max(F.transform(c, lambda x: F.abs(x))), F.lit(0))
+    is_ins = F.coalesce(F.split(F.regexp_replace(F.upper("svtype"), "[<>]", ""), ":")[0] == "INS", F.lit(False))
+    panel = load(spark, d, "panel_records").select(
+        names.contig(F.col("chrom")).alias("c"), F.col("pos").alias("p"), names.contig(F.when(is_ins, F.col("chrom")).otherwise(F.coalesce("chr2", "chrom"))).alias("named"),
+        F.when(is_ins, F.col("pos") + F.abs("svlen")).otherwise(F.col("stop_pos")).alias("q"), F.greatest(wide("cipos"), wide("ciend")).alias("ci"),
+    ).withColumn("c2", F.coalesce("named", "c")).drop("named")
+    j = _jun(spark, d).select(
+        "junction_key", names.contig(F.col("chr_a")).alias("c"), names.contig(F.coalesce("chr_b", "chr_a")).alias("c2"), "pos_a", "pos_b", F.coalesce("length", F.abs(F.col("pos_b") - F.col("pos_a"))).alias("length"),
+        F.col("vntr.vntr_start").alias("rep_low"), F.col("vntr.vntr_end").alias("rep_high"),
+    )
+    return junctions.in_panel(j, panel)
+
+
 @query(f"""with {JUN}, i as (select * from jun where chr_a = chr_b and dir_a = dir_b)
 select p.junction_key key_p, m.junction_key key_m from i p join i m on p.chr_a = m.chr_a and p.dir_a = 1 and m.dir_a = -1
 where abs(p.pos_a - m.pos_a) <= 200 and abs(p.pos_b - m.pos_b) <= 200 and abs((p.pos_b - p.pos_a) - (m.pos_b - m.pos_a)) < 200
