@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import calls, graph, junctions, segments
+from strandline.operators import calls, graph, islands, junctions, segments
 from strandline.plans.reference import JUN, PAIRS, SEG, _COV, _islands, _jun, _seg
 from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _positions, _repeats
 from strandline.tables import load
@@ -247,3 +247,48 @@ from k join j using (junction_key) where component in (select component from k g
 def cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     edges = _edges(spark, d)
     return calls.cluster_rows(edges, graph.components(edges, "src", "dst"), _jun(spark, d))
+
+
+# Components of the graph with the links that are no junctions. The tables of the SQL comparison have no gr_id, so these have no SQL.
+
+
+def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Junction edges, and the components of their nodes when reference adjacencies and groups of junctions (gr_id) link nodes too.
+
+    A shared end needs no link: it is one place and so one node. The nodes of a group are linked to its smallest one.
+    """
+    edges = _edges(spark, d)
+    j = _jun(spark, d).where("chr_b is not null and is_pass = 'PASS'")
+    ends = j.select("junction_key", F.inline(F.array(*[F.struct(F.col(f"chr_{e}").alias("chr"), F.col(f"pos_{e}").alias("pos")) for e in "ab"])))
+    placed = islands.gap_clusters(ends, ["chr"], "pos", 1000, "c").select("chr", "pos", F.concat_ws(":", "chr", "c").alias("node")).distinct()
+    at = lambda n: placed.select("chr", F.col("pos").alias(f"{n}_pos"), F.col("node").alias(n))
+    links = calls.reference_adjacent(j).select("chr", "plus_pos", "minus_pos").distinct().join(at("plus"), ["chr", "plus_pos"]).join(at("minus"), ["chr", "minus_pos"]).select(F.col("plus").alias("src"), F.col("minus").alias("dst"))
+    if "gr_id" in j.columns:
+        grouped = j.where("gr_id is not null").select("junction_key", "gr_id").distinct().join(edges.select("junction_key", F.explode(F.array("src", "dst")).alias("src")).distinct(), "junction_key")
+        least = grouped.groupBy("gr_id").agg(F.min("src").alias("dst"))
+        links = links.unionByName(grouped.join(least, "gr_id").select("src", "dst").distinct())
+    return edges, graph.components(edges.select("src", "dst").unionByName(links), "src", "dst")
+
+
+@query()
+def linked_components(spark: SparkSession, d: str) -> DataFrame:
+    return _linked(spark, d)[1].groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query()
+def linked_component_types(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions by kind of each linked component that has more than one junction."""
+    edges, parts = _linked(spark, d)
+    of = edges.join(parts.withColumnRenamed("node", "src"), "src")
+    several = of.groupBy("component").agg(F.count_distinct("junction_key").alias("k")).where("k > 1").select("component")
+    return of.groupBy("component", "vcf_sv_type").agg(F.count_distinct("junction_key").alias("n_junctions")).join(several, "component", "left_semi")
+
+
+@query()
+def linked_component_table(spark: SparkSession, d: str) -> DataFrame:
+    return calls.component_table(*_linked(spark, d))
+
+
+@query()
+def linked_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
+    return calls.cluster_rows(*_linked(spark, d), _jun(spark, d))
