@@ -30,5 +30,5 @@ def store(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a new Parquet table in the shared folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
