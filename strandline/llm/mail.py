@@ -21,9 +21,6 @@ TAG = regex.compile(r"</?[A-Za-z][^<>]*>|<![^<>]*>")
 MARKUP = regex.compile(r"(?i)<(?:html|body|p|div|br|blockquote|span|table)\b[^<>]*>")
 NOT_BASE64 = regex.compile(r"[^A-Za-z0-9+/]+")
 
-#: Parts within parts; a part nested deeper is read as plain text.
-DEEPEST = 12
-
 
 def without_markup(text: str) -> str:
     text = BREAKING.sub(" ", HIDDEN.sub(" ", text))
@@ -47,8 +44,27 @@ def _decoded(body: str, encoding: str, charset: str) -> str:
         return raw.decode("utf-8", "replace")
 
 
-def texts(message: str, depth: int = 0) -> list[tuple[str, bool]]:
-    """The texts of all parts, and whether they were decoded, so that they may hold characters that the message does not show. A part without a blank line after its headers is a body; an unclosed or never opened multipart is read to its end."""
+def texts(message: str) -> list[tuple[str, bool]]:
+    """The texts of all parts, however deep they are nested, and whether they were decoded, so that they may hold characters that the message does not show.
+
+    A part without a blank line after its headers is a body; an unclosed or never opened multipart is read to its end.
+    """
+    out: list[tuple[str, bool]] = []
+    # Parts still to be read, the next one last; text before the first part of a multipart is as it is.
+    waiting: list[tuple[str, bool]] = [(message, True)]
+    while waiting:
+        part, is_part = waiting.pop()
+        if is_part:
+            found, inner = _read(part)
+            out += found
+            waiting += reversed(inner)
+        else:
+            out.append((part, False))
+    return out
+
+
+def _read(message: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]]]:
+    """The text of one part, or the parts in it: (text, whether it is one with headers)."""
     head, body = "", message
     if FIELD_LINE.match(message.lstrip("\r\n")[:200]):
         parts = BLANK.split(message.lstrip("\r\n"), maxsplit=1)
@@ -59,21 +75,21 @@ def texts(message: str, depth: int = 0) -> list[tuple[str, bool]]:
     content = fields.get("content-type", "")
     kind = content.split(";")[0].strip().lower() or "text/plain"
     if not body:
-        return [(head, False)] if head else []
-    if kind.startswith("multipart/") and depth < DEEPEST:
+        return ([(head, False)] if head else []), []
+    if kind.startswith("multipart/"):
         mark = BOUNDARY.search(content)
         mark = (mark[1] or mark[2] or "").strip() if mark else ""
         if mark and f"--{mark}" in body:
             pieces = regex.split(rf"(?m)^--{regex.escape(mark)}(?:--)?[ \t]*\r?$\n?", body)
-            return [(pieces[0], False), *(t for p in pieces[1:] for t in texts(p if FIELD_LINE.match(p[:200]) else "\n" + p, depth + 1))]
-    if kind == "message/rfc822" and depth < DEEPEST:
-        return texts(body, depth + 1)
+            return [], [(pieces[0], False), *((p if FIELD_LINE.match(p[:200]) else "\n" + p, True) for p in pieces[1:])]
+    if kind == "message/rfc822":
+        return [], [(body, True)]
     if not kind.startswith(("text/", "multipart/", "message/")):
-        return []
+        return [], []
     encoding = fields.get("content-transfer-encoding", "").split(";")[0].strip().lower()
     charset = CHARSET.search(content)
     text = _decoded(body, encoding, charset[1] if charset else "")
     if "<" in text and (kind == "text/html" or MARKUP.search(text)):
         text = without_markup(text)
     plain = html.unescape(text) if "&" in text else text
-    return [(plain, plain is not body)]
+    return [(plain, plain is not body)], []

@@ -109,7 +109,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve words of an item in their places within thirteen, so one may be missing or changed."""
+    """Twelve words of an item in order within thirteen of it and of the document, so one may be left out, put in or changed."""
     return _leaks(spark, d, 1)
 
 
@@ -117,12 +117,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.alike(load(spark, d, "documents"), "doc_id", "text")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that looks like one of other characters, with the smallest id of its class and how many such documents there are."""
+    return lookalike.classes(load(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.forms(load(spark, d, "documents"), "doc_id", "text").select("doc_id", "form")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_monthly_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_forms)
+    f.__name__: f for f in (p1_percentiles, p1_monthly_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_classes, p9_forms)
 }
 
 _GROUPS = """
