@@ -6,25 +6,31 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import contig, kind
 from strandline.lineage import cut
-from strandline.operators.skew import join_per_key
+from strandline.operators.skew import join_per_key, join_split
 
 K1, B = 1.2, 0.75
+#: Weight of a token of an anchoring attribute against that of any other (BM25F).
+BOOST = 4.0
+#: Slack of comparisons of scores with bounds, above the rounding of scores.
+NEAR = 1e-6
 
 
 def index(docs: DataFrame) -> DataFrame:
     """BM25 weights of (id, anchors, others): arrays of tokens become arrays of (token, weight).
 
-    Weights use all records: idf from how many hold the token, saturation and length from the record's number of distinct tokens.
+    Weights use all records: idf from how many hold the token, saturation and length from the record's number of distinct tokens; anchors count BOOST times.
     """
     both = F.array_distinct(F.concat("anchors", "others"))
     sized = docs.withColumn("dl", F.size(both))
     totals = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg"))
-    tokens = sized.select("id", "dl", F.explode(both).alias("token"))
+    held = F.explode(F.transform(both, lambda t: F.struct(t.alias("token"), F.when(F.array_contains("anchors", t), BOOST).otherwise(1.0).alias("boost"))))
+    tokens = sized.select("id", "dl", held.alias("t")).select("id", "dl", "t.*")
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     n, avg = totals.select("n").scalar(), totals.select("avg").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / avg))
+    weight = F.col("boost") * idf * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / avg))
     return tokens.join(frequency, "token").withColumn("weight", weight).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("token", "weight"))).alias("weights"))
 
 
@@ -41,20 +47,38 @@ def _scored(pairs: DataFrame, queries: DataFrame, weighted: DataFrame) -> DataFr
 def _anchored(queries: DataFrame, docs: DataFrame) -> DataFrame:
     lists = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct("anchors")).alias("token"))
     probes = queries.select(F.col("id").alias("query"), F.explode(F.array_distinct("anchors")).alias("token"))
-    return probes.join(lists.hint("merge"), "token").select("query", "doc").distinct()
+    return join_split(probes, lists, ["token"]).select("query", "doc").distinct()
 
 
-def retrieve(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows (query, doc, score) of all pairs that share an anchor.
+def read_lists(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """Rows (query, token, bound, floor, reads) of the inverted lists that each query's tokens have. postings: (doc, token, weight).
 
-    queries and docs: (id, anchors, others), arrays of tokens; ids are unique. This is a blocking join, not a ranking: what must be found shares an
-    anchor, and no score, however low, leaves a pair out. The scores are complete, with the other tokens. Null or empty arrays match nothing.
+    floor is the least score of a record that shares an anchor with the query, the smallest weight in the lists of its anchors. A query's lists are taken by
+    rising upper bound, the greatest weight in each; those whose bounds sum to less than floor needn't be read, since a record that is in no other list
+    stays below floor. So no record that scores floor or more is missed, whichever lists have to be read for it.
     """
-    return _scored(_anchored(queries, docs), queries, index(docs))
+    bounds = postings.groupBy("token").agg(F.max("weight").alias("bound"), F.min("weight").alias("least"))
+    tokens = F.explode(F.array_distinct(F.concat("anchors", "others")))
+    asked = queries.select(F.col("id").alias("query"), "anchors", tokens.alias("token")).withColumn("is_anchor", F.array_contains("anchors", F.col("token"))).drop("anchors")
+    own = join_split(asked, cut(bounds), ["token"])
+    rising = Window.partitionBy("query").orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    floors = own.withColumn("floor", F.min(F.when(F.col("is_anchor"), F.col("least"))).over(Window.partitionBy("query"))).where("floor is not null")
+    return floors.select("query", "token", "bound", "floor", (F.sum("bound").over(rising) >= F.col("floor") - NEAR).alias("reads"))
 
 
-#: Slack of comparisons of scores with bounds, above the rounding of scores.
-NEAR = 1e-6
+def retrieve(queries: DataFrame, docs: DataFrame, k: int | None = None) -> DataFrame:
+    """Rows (query, doc, score) of all records that score at least the query's floor (read_lists), or with k of its k best of these, with all that tie.
+
+    queries and docs: (id, anchors, others), arrays of tokens; ids are unique. A record that shares an anchor reaches the floor, so what must be found by
+    one is found, whatever it has else in common. Null or empty arrays match nothing. Lists that very many records and queries have are split.
+    """
+    weighted = cut(index(docs))
+    postings = weighted.select(F.col("id").alias("doc"), F.inline("weights"))
+    lists = cut(read_lists(queries, postings))
+    met = join_split(lists.where("reads").select("query", "token"), postings.select("token", "doc"), ["token"]).select("query", "doc").distinct()
+    floors = lists.groupBy("query").agg(F.first("floor").alias("floor"))
+    scored = _scored(met, queries, weighted).join(floors.hint("merge"), "query").where(F.col("score") >= F.col("floor") - NEAR).drop("floor")
+    return scored if k is None else top(scored, "query", k)
 
 
 def strongest(askers: DataFrame, lists: DataFrame, k: int) -> DataFrame:
@@ -203,28 +227,6 @@ SLACK, UNKNOWN_BOUND = 15, 200
 #: Cells of positions are 2**level wide; a record uses the narrowest level that holds its tolerance.
 LEVELS = list(range(6, 41, 2))
 
-# Names of kinds.
-KINDS = {
-    "DELETION": "DEL", "INSERTION": "INS", "DUPLICATION": "DUP", "INVERSION": "INV",
-    "TRA": "BND", "CTX": "BND", "ITX": "BND", "TRANSLOCATION": "BND", "BREAKEND": "BND",
-}
-
-
-def contig(name: Column) -> Column:
-    """One spelling of a contig: chromosome and scaffold numbers without prefix, separator and leading zeros, anything else in lower case; blank is null."""
-    t = F.lower(F.regexp_replace(name, r"\A\s+|\s+\z", ""))
-    scaffold = F.regexp_extract(t, r"\A(?:scaffold|scaff|scf)[ _.-]*0*([0-9]+)\z", 1)
-    chromosome = F.regexp_extract(t, r"\A(?:chromosome|chrom|chr)?[ _.-]*0*([0-9]+)\z", 1)
-    rest = F.regexp_replace(t, r"\A(?:chromosome|chrom|chr)[ _.-]*", "")
-    return F.when(scaffold != "", F.concat(F.lit("s"), scaffold)).when(chromosome != "", chromosome).when(t != "", rest)
-
-
-def kind(name: Column) -> Column:
-    """One name of a kind, without brackets and subtype; blank is null."""
-    t = F.split(F.upper(F.regexp_replace(name, r"[<>\s]", "")), ":")[0]
-    names = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])
-    return F.coalesce(names[t], F.when(t != "", t))
-
 
 def _bound(interval: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(interval, lambda x: F.abs(x))).cast("long"), F.lit(UNKNOWN_BOUND)) + SLACK
@@ -334,10 +336,10 @@ def _records(call_rows: DataFrame, panel_rows: DataFrame) -> tuple[DataFrame, Da
 
 
 def candidates(call_rows: DataFrame, panel_rows: DataFrame) -> DataFrame:
-    """Scored pairs of calls and panel records that share a cell, with agrees, whether they describe the same rearrangement. Columns query, doc, call_id, panel_id, score, agrees.
+    """Scored pairs of calls and panel records that reach the call's floor, with agrees, whether they describe the same rearrangement. Columns query, doc, call_id, panel_id, score, agrees.
 
     Repeated deliveries of a record are one record; deliveries of an id that differ are records of their own with the same id. Records
-    without id or position match nothing. Pairs that agree always share a cell, so none is lost; the score leaves none out.
+    without id or position match nothing. Pairs that agree always share a cell, which is an anchor, so they all reach the floor.
     """
     c, p, levels = _records(call_rows, panel_rows)
     return _described(retrieve(call_tokens(c, levels), panel_tokens(p)), c, p)

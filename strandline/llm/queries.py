@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandline.functions.names import KINDS
 from strandline.llm import components, leakage, lookalike, matching, quantile_sketch, tokens
 from strandline.tables import load
 
@@ -80,6 +81,7 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs retrieved by score that pass the exact rule."""
     pairs = matching.candidates(load(spark, d, "vcf_records"), load(spark, d, "panel_records"))
     return pairs.where("agrees").select("call_id", "panel_id").distinct()
 
@@ -148,7 +150,7 @@ def _contig(column: str) -> str:
 
 def _kind(column: str) -> str:
     name = f"split_part(upper(regexp_replace({column}, '[<> ]', '', 'g')), ':', 1)"
-    cases = " ".join(f"when '{a}' then '{b}'" for a, b in matching.KINDS.items())
+    cases = " ".join(f"when '{a}' then '{b}'" for a, b in KINDS.items())
     return f"case {name} {cases} else nullif({name}, '') end"
 
 

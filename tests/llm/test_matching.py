@@ -89,10 +89,45 @@ def brute_scores(queries, docs):
     avg = sum(map(len, tokens.values())) / len(tokens)
     idf = {t: math.log(1 + (len(tokens) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     part = {d: (m.K1 + 1) / (1 + m.K1 * (1 - m.B + m.B * len(s) / avg)) for d, s in tokens.items()}
-    pairs = {(q["id"], d): sum(idf[t] for t in s & (set(q["anchors"]) | set(q["others"]))) * part[d] for q in queries for d, s in tokens.items() if s & (set(q["anchors"]) | set(q["others"]))}
+    anchors = {d["id"]: set(d["anchors"]) for d in docs}
+    pairs = {(q["id"], d): sum(idf[t] * (m.BOOST if t in anchors[d] else 1) for t in s & (set(q["anchors"]) | set(q["others"]))) * part[d] for q in queries for d, s in tokens.items() if s & (set(q["anchors"]) | set(q["others"]))}
     return {pair: round(x, 6) for pair, x in pairs.items()}
 
 
+def spread(seed):
+    calls, panel = data(random.Random(seed), 60)
+    calls += [(900 + i, "chr01", 50_000 * i, "DEL", 70, "chr01", 50_000 * i + 70) for i in range(1, 12)]
+    panel += [(900 + i, "1", 50_000 * i + 30 * (i % 2), None, 50_000 * i + 70, "DEL", -70, [-5, 5], [-5, 5]) for i in range(1, 120)]
+    return calls, panel
+
+
+def test_retrieval_reads_only_what_can_reach_the_floor(spark):
+    c, p, levels = m._records(*frames(spark, *spread(5)))
+    asked, docs = m.call_tokens(c, levels), m.panel_tokens(p)
+    weighted = m.index(docs)
+    lists = m.read_lists(asked, weighted.select(F.col("id").alias("doc"), F.inline("weights"))).collect()
+    assert sum(not x["reads"] for x in lists) > len(lists) / 20 and any(x["reads"] for x in lists)
+    floor = {x["query"]: x["floor"] for x in lists}
+    scores = brute_scores(asked.collect(), docs.collect())
+    want = {pair: x for pair, x in scores.items() if x >= floor.get(pair[0], math.inf) - m.NEAR}
+    got = {(x["query"], x["doc"]): x["score"] for x in m.retrieve(asked, docs).collect()}
+    assert set(got) == set(want) and all(abs(x - want[pair]) < 1e-5 for pair, x in got.items())
+    held = {d["id"]: set(d["anchors"]) for d in docs.collect()}
+    assert all((q["id"], d) in got for q in asked.collect() for d, a in held.items() if a & set(q["anchors"]))
+    best = {(x["query"], x["doc"]) for x in m.retrieve(asked, docs, 2).collect()}
+    by = collections.defaultdict(list)
+    for (q, _), x in want.items():
+        by[q].append(x)
+    assert best == {(q, d) for (q, d), x in want.items() if x >= sorted(by[q])[-min(2, len(by[q]))] - 1e-9}
+
+
+def test_no_score_no_pair(spark, monkeypatch):
+    c, p = frames(spark, *spread(6))
+    assert m.candidates(c, p).where("agrees").count() > 0
+    monkeypatch.setattr(m, "_scored", lambda pairs, *_: pairs.withColumn("score", F.lit(0.0)))
+    assert m.candidates(c, p).count() == 0
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_the_k_best_are_those_over_all_attributes(spark, seed):
     """Also records that share no cell with a call, which were never scored."""
