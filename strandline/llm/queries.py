@@ -72,8 +72,7 @@ def _counting(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    links = components.nearby_links(_counting(spark, d), "qry_id", "ref_id", "ref_end", 100)
-    return components.groups(links, "a", "b").select(F.col("group").alias("group_id"), F.col("vertex").alias("qry_id"))
+    return components.nearby_groups(_counting(spark, d), "qry_id", "ref_id", "ref_end", 100).select(F.col("group").alias("group_id"), F.col("vertex").alias("qry_id"))
 
 
 def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
