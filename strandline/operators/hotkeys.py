@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
@@ -54,29 +55,29 @@ def bin_of(value: str, bits: int) -> F.Column:
     return F.when(F.col(value) < 0, -code - 1).otherwise(code)
 
 
-def key_percentiles(weighted: DataFrame, shares: list[str], bits: int = 7) -> DataFrame:
+def _whole_rank(share: F.Column, total: F.Column) -> F.Column:
+    return F.greatest(F.ceil(share * total).cast("long"), F.lit(1))
+
+
+def key_percentiles(weighted: DataFrame, shares: list[str], bits: tuple[int, ...] = (7, 23), rank: Callable[[F.Column, F.Column], F.Column] = _whole_rank) -> DataFrame:
     """Exact percentiles of whole-number values per key: the smallest value whose cumulative frequency reaches share * n (shares are decimal texts, such as "0.5").
 
-    Two levels keep every group small: frequencies are summed into order-preserving bins, whose number per key is bounded by bits, the bin
-    that holds the wanted rank is found from their running sum, and only that bin's own values are ordered. Null values are left out; a key
-    without values has no row. Returns key, share and value, one row per key and share.
+    Frequencies are summed into order-preserving bins of bits[0] bits, the bin that holds the wanted rank is found from their running sum, only its rows go
+    on to finer bins of bits[1] bits, and so on; the values of the last bin are ordered themselves. So a window orders at most 2 * 64 * 2**bits[0] bins of a
+    key, then 2**(bits[1] - bits[0]), then 2**(digits - 1 - bits[-1]) values of that many binary digits. Null values are left out; a key without values has
+    no row. Returns key, share and value, one row per key and share. rank gives the wanted rank from the share and the number of values.
     """
-    some = weighted.where(F.col("value").isNotNull()).withColumn("bin", bin_of("value", bits))
-    bins = some.groupBy("key", "bin").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("key")
-    wanted = (
-        bins.withColumn("upto", F.sum("n").over(upto))
-        .withColumn("total", F.sum("n").over(whole))
-        .withColumn("share", F.explode(F.array(*[F.lit(Decimal(s)).cast("decimal(9,6)") for s in shares])))
-        .withColumn("rank", F.greatest(F.ceil(F.col("share") * F.col("total")).cast("long"), F.lit(1)))
-        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .select(F.col("key").alias("k"), F.col("bin").alias("b"), "share", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
-    )
-    inside = Window.partitionBy("key", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = some.withColumn("upto", F.sum("n").over(inside))
-    return (
-        ranked.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("bin") == F.col("b")))
-        .where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
-        .select("key", "share", "value")
-    )
+    some = weighted.where(F.col("value").isNotNull()).select(F.struct("key").alias("_k"), "value", "n").withColumn("_bin", F.lit(0).cast("long"))
+    decimals = F.array(*[F.lit(Decimal(s)).cast("decimal(9,6)") for s in shares])
+    wanted = some.groupBy("_k", "_bin").agg(F.sum("n").alias("_total")).withColumn("share", F.explode(decimals))
+    wanted = wanted.select("_k", "_bin", "share", rank(F.col("share"), F.col("_total")).cast("long").alias("_rank"))
+    for b in [*bits, None]:
+        code = bin_of("value", b) if b is not None else F.col("value").cast("long")
+        some = some.withColumn("_next", code)
+        upto = Window.partitionBy("_k", "_bin").orderBy("_next").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = some.groupBy("_k", "_bin", "_next").agg(F.sum("n").alias("_n")).withColumn("_upto", F.sum("_n").over(upto))
+        met = sums.join(wanted, ["_k", "_bin"]).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        wanted = met.select("_k", F.col("_next").alias("_bin"), "share", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+        # Only rows of the bins that hold a wanted rank are ordered any further.
+        some = some.drop("_bin").withColumnRenamed("_next", "_bin").join(wanted.select("_k", "_bin").distinct(), ["_k", "_bin"], "left_semi")
+    return wanted.select("_k.key", "share", F.col("_bin").alias("value"))

@@ -16,7 +16,7 @@ def test_profile_and_percentiles_match_brute_force(spark):
     rows = [("hot" if r.random() < 0.6 else r.choice(["a", "b", None]), r.choice([None, 0, -5, 3, 10**12, r.randrange(-4000, 4000)])) for _ in range(800)]
     w = h.compress(table(spark, rows), "k", "v")
     got = {x["key"]: x.asDict() for x in h.key_profile(w).collect()}
-    perc = {(x["key"], float(x["share"])): x["value"] for x in h.key_percentiles(w, ["0.1", "0.5", "0.99"], bits=3).collect()}
+    perc = {(x["key"], float(x["share"])): x["value"] for x in h.key_percentiles(w, ["0.1", "0.5", "0.99"], bits=(3, 6)).collect()}
     assert len(got) == 4 and len(perc) == 12
     for k in ("hot", "a", "b", None):
         all_values = [v for q, v in rows if q == k]
