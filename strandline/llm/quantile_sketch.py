@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,12 +60,26 @@ def decode(code: int, shape: Shape) -> int:
     return -size if code < half else size
 
 
+def _packed(counters: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(counters, np.int64).tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int64)
+
+
+def slots(nodes: np.ndarray, numbers: tuple[int, int, int, int], shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of nodes in the row with these multipliers and offsets."""
+    a, b, c, e = numbers
+    return (a * nodes + b) % PRIME % shape.width, 1 - 2 * ((c * nodes + e) % PRIME % 2)
+
+
 def sketch(df: DataFrame, keys: list[str], value: str, shape: Shape = Shape(), weight: str | None = None) -> DataFrame:
-    """Counters of one sketch per value of keys: rows (keys, level, row, slot, counter); row -1 is an exact count of node slot.
+    """One sketch per value of keys: rows (keys, level, sign, counters), all counters of a level packed in one value; sign -1 takes them away.
 
     weight: a whole-number column, negative for deletions; every row counts 1 without it. Null values (or weights) add nothing; a null in a key
-    is a group of its own; further columns are not read. Frequencies of codes are summed first, so what follows grows with the
-    groups and the bounded universe, not with the rows. An empty table gives no counters.
+    is a group of its own; further columns are not read. Frequencies of codes are summed first, so a task gets at most a group's codes, which the
+    universe bounds at 2**levels, and what is shuffled are sums and packed counters. An empty table gives no sketch.
     """
     w = F.lit(1) if weight is None else F.col(weight)
     counts = (
@@ -74,62 +89,68 @@ def sketch(df: DataFrame, keys: list[str], value: str, shape: Shape = Shape(), w
         .agg(F.sum("_w").alias("_w"))
         .where("_w <> 0")
     )
-    sketched = shape.sketched()
-    exact = [F.struct(F.lit(lv).alias("level"), F.lit(-1).alias("row"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.lit(0).alias("e")) for lv in range(max(sketched) + 1, shape.levels + 1)]
-    hashed = [
-        F.struct(F.lit(lv).alias("level"), F.lit(r).alias("row"), *(F.lit(x).alias(n) for n, x in zip("abce", h)))
-        for (lv, r), h in shape.hashes().items()
-    ]
-    node = F.call_function("shiftright", F.col("_code"), F.col("_h.level"))
-    slot = F.when(F.col("_h.row") < 0, node).otherwise((F.col("_h.a").cast("long") * node + F.col("_h.b")) % PRIME % shape.width)
-    sign = F.when(F.col("_h.row") < 0, 1).otherwise(1 - 2 * ((F.col("_h.c").cast("long") * node + F.col("_h.e")) % PRIME % 2))
-    return (
-        counts.withColumn("_h", F.explode(F.array(*exact, *hashed)))
-        .select(*keys, F.col("_h.level").alias("level"), F.col("_h.row").alias("row"), slot.alias("slot"), (sign * F.col("_w")).alias("_d"))
-        .groupBy(*keys, "level", "row", "slot")
-        .agg(F.sum("_d").alias("counter"))
-        .where("counter <> 0")
-    )
+    hashes, sketched, levels = shape.hashes(), set(shape.sketched()), shape.levels
+    schema = df.select(*keys).schema.add("level", "integer").add("sign", "integer").add("counters", "binary")
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        codes, weights = pdf["_code"].to_numpy(np.int64), pdf["_w"].to_numpy(np.int64)
+        out = []
+        for level in range(levels + 1):
+            nodes = codes >> level
+            if level in sketched:
+                rows = np.zeros((shape.depth, shape.width), np.int64)
+                for r in range(shape.depth):
+                    at, sign = slots(nodes, hashes[level, r], shape)
+                    np.add.at(rows[r], at, sign * weights)
+            else:
+                rows = np.zeros(1 << (levels - level), np.int64)
+                np.add.at(rows, nodes, weights)
+            out.append((*key, level, 1, _packed(rows)))
+        return pd.DataFrame(out, columns=[*keys, "level", "sign", "counters"])
+
+    return counts.groupBy(*keys).applyInPandas(build, schema)
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Sketches of the same shape added up to those of the coarser keys: of days, partitions, or of insertions and deletions."""
-    return sketches.groupBy(*keys, "level", "row", "slot").agg(F.sum("counter").alias("counter")).where("counter <> 0")
+    """Sketches of the same shape added up to those of the coarser keys: of days, partitions, or of insertions and deletions.
+
+    A group is a level of one key's sketches: as many rows as sketches are added, each of at most depth * width counters.
+    """
+    schema = sketches.select(*keys).schema.add("level", "integer").add("sign", "integer").add("counters", "binary")
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = 0
+        for sign, packed in zip(pdf["sign"], pdf["counters"]):
+            total = total + sign * _unpacked(packed)
+        return pd.DataFrame([(*key, 1, _packed(total))], columns=[*keys, "level", "sign", "counters"])
+
+    return sketches.select(*keys, "level", "sign", "counters").groupBy(*keys, "level").applyInPandas(add, schema)
 
 
 def negate(sketches: DataFrame) -> DataFrame:
     """What has to be added to take these rows away again."""
-    return sketches.withColumn("counter", -F.col("counter"))
+    return sketches.withColumn("sign", -F.col("sign"))
 
 
 def percentiles(sketches: DataFrame, keys: list[str], shares: list[float], shape: Shape = Shape()) -> DataFrame:
     """Rows (keys, share, n, estimate): the value whose rank is about ceil(share * n), found by descending from the root to a leaf.
 
-    A group without values has no row. A group's counters number at most (levels * width * depth), whatever its rows.
+    sketches hold one sketch per key (merge). A group without values has no row. A group is one sketch, whatever its rows.
     """
     hashes, top, sketched = shape.hashes(), shape.levels, set(shape.sketched())
     schema = sketches.select(*keys).schema.add("share", "double").add("n", "long").add("estimate", "double")
 
     def descend(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        tables: dict[tuple[int, int], object] = {}
-        for (level, row), part in pdf.groupby(["level", "row"]):
-            if row < 0:
-                tables[level, -1] = dict(zip(part["slot"], part["counter"]))
-            else:
-                counters = np.zeros(shape.width, np.int64)
-                counters[part["slot"].to_numpy(np.int64)] = part["counter"].to_numpy(np.int64)
-                tables[level, row] = counters
+        tables = {level: sign * _unpacked(packed) for level, sign, packed in zip(pdf["level"], pdf["sign"], pdf["counters"])}
 
         def count(level: int, node: int) -> int:
             if level not in sketched:
-                return tables.get((level, -1), {}).get(node, 0)
+                return int(tables[level][node])
+            rows = tables[level].reshape(shape.depth, shape.width)
             found = []
             for r in range(shape.depth):
-                a, b, c, e = hashes[level, r]
-                if (t := tables.get((level, r))) is not None:
-                    found.append((1 - 2 * ((c * node + e) % PRIME % 2)) * int(t[(a * node + b) % PRIME % shape.width]))
-                else:
-                    found.append(0)
+                at, sign = slots(np.int64(node), hashes[level, r], shape)
+                found.append(int(sign) * int(rows[r, at]))
             return int(np.median(found))
 
         n, out = count(top, 0), []

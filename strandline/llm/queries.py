@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.names import KINDS
 from strandline.llm import components, leakage, lookalike, matching, quantile_sketch, tokens
+from strandline.operators import hotkeys
 from strandline.tables import load
 
 SHARES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -46,23 +47,38 @@ def p1_without_copies(spark: SparkSession, d: str) -> DataFrame:
     return quantile_sketch.percentiles(rest, keys, SHARES)
 
 
+def _bounds(rows: DataFrame, keys: list[str], estimates: DataFrame) -> DataFrame:
+    """For each percentile the exact values whose rank is 1 % of all rows, at least 1, below and above its own, and whether the estimate lies between them.
+
+    The estimate may be off by 2**-11 of itself besides.
+    """
+    weighted = hotkeys.compress(rows.select(F.struct(*keys).alias("key"), "value"), "key", "value")
+    rank = lambda share, n: F.greatest(F.ceil(share * n), F.lit(1))
+    allowed = lambda n: F.greatest(F.floor(n / 100), F.lit(1))
+    shares = [str(s) for s in SHARES]
+    low = hotkeys.key_percentiles(weighted, shares, rank=lambda s, n: F.greatest(rank(s, n) - allowed(n), F.lit(1))).withColumnRenamed("value", "low")
+    high = hotkeys.key_percentiles(weighted, shares, rank=lambda s, n: F.least(rank(s, n) + allowed(n), n)).withColumnRenamed("value", "high")
+    found = estimates.select(F.struct(*keys).alias("key"), F.col("share").cast("decimal(9,6)").alias("share"), "n", "estimate")
+    slack = F.abs("estimate") * 2.0**-11
+    inside = (F.col("estimate") >= F.col("low") - slack) & (F.col("estimate") <= F.col("high") + slack)
+    return low.join(high, ["key", "share"]).join(found, ["key", "share"]).select("key.*", F.col("share").cast("double").alias("share"), "n", "low", "high", inside.alias("in_bound"))
+
+
 def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
-    """For each percentile of p1_percentiles, n and whether its rank is off by at most 1 % of n, judged with all rows."""
-    estimates = p1_percentiles(spark, d)
-    slack = F.col("estimate") * 2.0**-11
-    rows = _measures(spark, d).where("value is not null").groupBy("genome_id", "field", "value").agg(F.count(F.lit(1)).alias("c"))
-    ranks = (
-        rows.join(F.broadcast(estimates.select("genome_id", "field", "share", "estimate")), ["genome_id", "field"])  # groups x shares rows
-        .groupBy("genome_id", "field", "share")
-        .agg(
-            F.sum("c").alias("n"),
-            F.sum(F.when(F.col("value") < F.col("estimate") - slack, F.col("c")).otherwise(0)).alias("below"),
-            F.sum(F.when(F.col("value") <= F.col("estimate") + slack, F.col("c")).otherwise(0)).alias("upto"),
-        )
-    )
-    rank = F.col("share") * F.col("n")
-    allowed = F.greatest(F.lit(1.0), 0.01 * F.col("n"))
-    return ranks.select("genome_id", "field", "share", "n", ((F.col("below") <= rank + allowed) & (F.col("upto") >= rank - allowed)).alias("in_bound"))
+    """p1_percentiles against the exact values at the ends of its bound."""
+    return _bounds(_measures(spark, d), ["genome_id", "field"], p1_percentiles(spark, d))
+
+
+def p1_months_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """p1_monthly_percentiles against the exact values at the ends of its bound."""
+    rows = _measures(spark, d).withColumn("month", F.date_format("run_date", "yyyy-MM"))
+    return _bounds(rows, ["genome_id", "field", "month"], p1_monthly_percentiles(spark, d))
+
+
+def p1_rest_within_bound(spark: SparkSession, d: str) -> DataFrame:
+    """p1_without_copies, whose sketch had rows taken away, against the exact values at the ends of its bound."""
+    rows = _measures(spark, d).groupBy("seg_id", "genome_id", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    return _bounds(rows, ["genome_id", "field"], p1_without_copies(spark, d))
 
 
 def _counting(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +144,7 @@ def p9_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_percentiles, p1_monthly_percentiles, p1_without_copies, p1_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_classes, p9_forms)
+    f.__name__: f for f in (p1_percentiles, p1_monthly_percentiles, p1_without_copies, p1_within_bound, p1_months_within_bound, p1_rest_within_bound, p3_found, p3_group_sizes, p6_found, p6_matches, p7_ids, p7_lengths, p8_found, p8_near, p9_found, p9_classes, p9_forms)
 }
 
 _GROUPS = """
@@ -168,13 +184,27 @@ select call_id, panel_id from c join p on c.ca = p.ca and c.cb = p.cb and abs(c.
 union
 select call_id, panel_id from c join p on c.cb = p.ca and c.ca = p.cb and abs(c.b - p.a) <= ta and abs(c.a - p.b) <= tb where c.kind = 'BND' and p.kind = 'BND'"""
 
+
+
+def _exact(keys: str, rows: str) -> str:
+    """The exact values at the ends of the bound of each percentile."""
+    return f"""
+with m as (select genome_id, seg_id, strftime(run_date, '%Y-%m') as month, unnest(['mapq', 'error_rate', 'read_length']) field,
+    unnest([case when mapq between 0 and 254 then mapq end, case when error_rate >= 0 then error_rate end,
+      case when read_length > 0 then read_length end]) v from segments),
+w as (select {keys}, v, count(*) c from {rows} where v is not null group by all),
+u as (select *, sum(c) over (partition by {keys} order by v) upto, (sum(c) over (partition by {keys}))::bigint n from w),
+r as (select *, unnest({SHARES}::decimal(9,6)[]) share from u),
+k as (select *, greatest(ceil(share * n), 1)::bigint rank, greatest(n // 100, 1) off from r)
+select {keys}, share::double share, n, min(v) filter (upto >= greatest(rank - off, 1)) low, min(v) filter (upto >= least(rank + off, n)) high, true in_bound
+from k group by {keys}, share, n"""
+
+
 SQL: dict[str, str] = {
     "p6_found": _MATCHES,
-    "p1_within_bound": f"""
-with m as (select genome_id, unnest(['mapq', 'error_rate', 'read_length']) field,
-    unnest([case when mapq between 0 and 254 then mapq end, case when error_rate >= 0 then error_rate end,
-      case when read_length > 0 then read_length end]) v from segments)
-select genome_id, field, unnest({SHARES}::double[]) share, count(*) n, true in_bound from m where v is not null group by genome_id, field""",
+    "p1_within_bound": _exact("genome_id, field", "m"),
+    "p1_months_within_bound": _exact("genome_id, field, month", "m"),
+    "p1_rest_within_bound": _exact("genome_id, field", "(select distinct seg_id, genome_id, field, v from m)"),
     "p3_found": _GROUPS + " select group_id, qry_id from found",
     "p3_group_sizes": _GROUPS + " select group_id, count(*) n_reads from found group by group_id",
 }
