@@ -32,10 +32,10 @@ def p1_monthly_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    """Percentiles per genome over everything, from the added sketches of the run dates' months."""
+    """Percentiles per genome over everything, from the added sketches of the run dates."""
     keys = ["genome_id", "field"]
-    monthly = quantile_sketch.sketch(_measures(spark, d).withColumn("month", F.date_format("run_date", "yyyy-MM")), [*keys, "month"], "value")
-    return quantile_sketch.percentiles(quantile_sketch.merge(monthly, keys), keys, SHARES)
+    daily = quantile_sketch.sketch(_measures(spark, d), [*keys, "run_date"], "value")
+    return quantile_sketch.percentiles(quantile_sketch.merge(daily, keys), keys, SHARES)
 
 
 def p1_without_copies(spark: SparkSession, d: str) -> DataFrame:
