@@ -93,28 +93,22 @@ def overlap_shift(segments: DataFrame, least: int = 50) -> DataFrame:
     return sums.select("genome_id", "chr_x", "chr_y", "overlap", F.when(F.col("mx") > F.col("my"), "x").otherwise("y").alias("side"))
 
 
-def region_depth(rows: DataFrame, coverage: DataFrame, inside: bool, flank: int = 5) -> DataFrame:
-    """Mean segments per bin of a junction's own haplotype, inside it or in the flank bins on both sides; bins without segments count as 0."""
-    low, high = F.floor(F.col("pos_a") / 1000), F.floor(F.col("pos_b") / 1000)
-    wanted = F.sequence(low, high) if inside else F.concat(F.sequence(low - flank, low - 1), F.sequence(high + 1, high + flank))
-    at = rows.select("junction_key", "genome_id", F.coalesce("hp1", F.lit(0)).alias("haplotype"), F.col("chr_a").alias("ref_id"), F.explode(wanted).alias("bin"))
-    full = at.join(coverage, ["genome_id", "haplotype", "ref_id", "bin"], "left")
-    return full.groupBy("junction_key", "genome_id", "haplotype").agg((F.coalesce(F.sum("n"), F.lit(0)) / F.count(F.lit(1))).alias("depth"))
-
-
-def coverage_calls(rows: DataFrame, coverage: DataFrame, dup_share: float = 0.5, del_share: float = 1.5, longest: int = 2_000_000) -> DataFrame:
-    """Duplications and deletions that mean coverage alone bears out, without the cases that need none (typed_by_coverage has all): inside deeper than the flanks by dup_share of the support, or lower by del_share of it."""
-    own = rows.where(f"vcf_sv_type in ('DUP', 'DEL') and chr_a = chr_b and pos_b > pos_a and pos_b - pos_a <= {longest} and supp is not null")
+def coverage_calls(rows: DataFrame, coverage: DataFrame, dup_share: float = 0.5, del_share: float = 1.5, flank: int = 5) -> DataFrame:
+    """Duplications and deletions of any length that coverage alone bears out (typed_by_coverage has those that need none): the median inside is deeper than in the flanks by dup_share of the support, or lower by del_share of it."""
+    own = rows.where("vcf_sv_type in ('DUP', 'DEL') and chr_a = chr_b and pos_b > pos_a and supp is not null")
     key = ["junction_key", "genome_id", "haplotype"]
-    own = own.withColumn("haplotype", F.coalesce("hp1", F.lit(0)))
-    depths = region_depth(own, coverage, True).withColumnRenamed("depth", "inside").join(region_depth(own, coverage, False).withColumnRenamed("depth", "outside"), key)
+    own = own.groupBy("junction_key", "genome_id", F.coalesce("hp1", F.lit(0)).alias("haplotype"), "vcf_sv_type", F.col("chr_a").alias("ref_id"), F.floor(F.col("pos_a") / 1000).alias("lo"), F.floor(F.col("pos_b") / 1000).alias("hi")).agg(F.max("supp").alias("supp"))
+    inside = own.select(*key, "ref_id", F.col("lo").alias("low"), F.col("hi").alias("high")).distinct()
+    sides = F.array(F.struct((F.col("lo") - flank).alias("low"), (F.col("lo") - 1).alias("high")), F.struct((F.col("hi") + 1).alias("low"), (F.col("hi") + flank).alias("high")))
+    outside = own.select(*key, "ref_id", F.inline(sides)).distinct()
+    depths = median_depth(inside, coverage, key).withColumnRenamed("depth", "inside").join(median_depth(outside, coverage, key).withColumnRenamed("depth", "outside"), key)
     both = own.select(*key, "vcf_sv_type", "supp").join(depths, key)
     deeper, lower = F.col("inside") > F.col("outside") + dup_share * F.col("supp"), F.col("inside") < F.col("outside") - del_share * F.col("supp")
     call = F.when((F.col("vcf_sv_type") == "DUP") & deeper, "tandem_duplication").when((F.col("vcf_sv_type") == "DEL") & lower, "DEL")
     return both.withColumn("call", call).where("call is not null").select(*key, "call")
 
 
-def _median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], block: int = 1024) -> DataFrame:
+def median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], block: int = 1024) -> DataFrame:
     """Whole median of segments per bin over the ranges [low, high] of bins of each key: (*key, depth). wanted: (*key, haplotype, ref_id, low, high), key with genome_id.
 
     Whole blocks of bins are read as counts by depth, only a range's edges bin by bin, so a long range costs few rows; bins without segments count as 0.
@@ -159,8 +153,8 @@ def typed_by_coverage(rows: DataFrame, coverage: DataFrame, contigs: DataFrame,
     sides = F.array(F.struct(F.col("haplotype").alias("own"), F.greatest(F.col("lo") - flank, F.lit(0)).alias("low"), (F.col("lo") - 1).alias("high")), F.struct(F.col("second").alias("own"), F.col("hi").alias("low"), F.least(F.col("hi") + flank - 1, "top").alias("high")))
     # In the flanks a bin's haplotype is that of its side, so the key carries the first end's under another name.
     around = open_.select("junction_key", "genome_id", F.col("haplotype").alias("first"), "second", "ref_id", F.inline(sides)).withColumnRenamed("own", "haplotype")
-    outside = _median_depth(around, coverage, ["junction_key", "genome_id", "first", "second"]).select("junction_key", "genome_id", F.col("first").alias("haplotype"), "second", F.col("depth").alias("outside"))
-    depths = _median_depth(inside, coverage, key).withColumnRenamed("depth", "inside").join(outside, key)
+    outside = median_depth(around, coverage, ["junction_key", "genome_id", "first", "second"]).select("junction_key", "genome_id", F.col("first").alias("haplotype"), "second", F.col("depth").alias("outside"))
+    depths = median_depth(inside, coverage, key).withColumnRenamed("depth", "inside").join(outside, key)
     both = judged.join(depths, key, "left")
     lower, deeper = F.col("inside") < F.col("outside") - del_share * F.col("supp"), F.col("inside") > F.col("outside") + dup_share * F.col("supp")
     call = F.when(F.col("is_del") & (F.col("sure") | lower), "DEL").when(F.col("known") | (F.col("is_dup") & (F.col("sure") | deeper)), "tandem_duplication")

@@ -11,8 +11,13 @@ from strandline.operators import islands, ranges
 
 
 def with_ends(junctions: DataFrame) -> DataFrame:
-    """Distinct rows with a key, and the ends read from it: chr_a, pos_a, dir_a, chr_b, pos_b, dir_b and size of an insertion."""
-    rows = junctions.where("junction_key is not null and genome_id is not null").dropDuplicates(["junction_key", "genome_id", "hp1", "hp2"])
+    """One row of each key, genome and haplotypes, and the ends read from the key: chr_a, pos_a, dir_a, chr_b, pos_b, dir_b and size of an insertion.
+
+    Of different rows the one with most support counts, then that with most dv, then by vcf_id and is_pass.
+    """
+    order = [F.desc_nulls_last("supp"), F.desc_nulls_last("dv"), F.asc_nulls_first("vcf_id"), F.asc_nulls_first("is_pass")]
+    best = F.row_number().over(Window.partitionBy("junction_key", "genome_id", "hp1", "hp2").orderBy(*order))
+    rows = junctions.where("junction_key is not null and genome_id is not null").withColumn("_r", best).where("_r = 1").drop("_r")
     return rows.withColumn("_e", names.ends_of_key(F.col("junction_key"))).select("*", "_e.*").drop("_e")
 
 

@@ -25,6 +25,13 @@ def clean(segments: DataFrame) -> DataFrame:
 IS_SPLIT = "not is_insertion and not is_clipped"
 
 
+def distinct_starts(segments: DataFrame) -> DataFrame:
+    """Split segments without those that begin at the same place of the read as the one before them; insertions and clips all stay."""
+    split = segments.where(IS_SPLIT)
+    first = Window.partitionBy(*READ, "read_start").orderBy("align_start", "seg_id")
+    return split.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r").unionByName(segments.where(f"not ({IS_SPLIT})"))
+
+
 def route(segments: DataFrame) -> DataFrame:
     """Per genome: reads with more than one split segment, insertion segments, and clipped segments that passed or have no label."""
     per_read = segments.groupBy(*READ).agg(F.count_if(F.expr(IS_SPLIT)).alias("n"), F.count_if("is_insertion").alias("ins"), F.count_if(F.expr("is_clipped and coalesce(is_pass, 'PASS') = 'PASS'")).alias("clip"))
@@ -100,13 +107,14 @@ def high_mismatch_bins(segments: DataFrame, limit: Column) -> DataFrame:
 def labels(segments: DataFrame, masked: DataFrame, limit: Column, min_mapq: int = 10, min_share: float = 0.5, min_length: int = 2000) -> DataFrame:
     """(seg_id, label): what speaks against a segment, PASS if nothing does.
 
-    Low mapq; a mismatch rate of at least limit where a masked bin is touched; a read of which less than min_share or min_length is aligned. Aligned
+    Low mapq; a mismatch rate of at least limit where the bins of its original ends touch a masked one; a read of which less than min_share or min_length is aligned. Aligned
     lengths are those of all segments but clipped ones, as long as the read is.
     """
     whole = Window.partitionBy(*READ)
     aligned = F.sum(F.when(~F.col("is_clipped"), F.col("read_end") - F.col("read_start"))).over(whole)
     length = F.min_by("read_length", F.struct("align_start", "read_start", "seg_id")).over(whole)
-    touched = bins(segments.select("seg_id", "ref_id", "ref_start", "ref_end", "mismatch_rate").where(F.col("mismatch_rate") >= limit), F.floor(F.col("ref_start") / BIN), F.floor(F.col("ref_end") / BIN))
+    own = lambda c: F.floor(F.coalesce(f"{c}_ori", c) / BIN)
+    touched = bins(segments.where(F.col("mismatch_rate") >= limit).select("seg_id", "ref_id", own("ref_start").alias("_from"), own("ref_end").alias("_last")), F.col("_from"), F.col("_last"))
     high = touched.join(masked, ["ref_id", "bin"], "left_semi").select("seg_id").distinct().withColumn("_high", F.lit(True))
     parts = F.concat(
         F.when(F.col("mapq") < min_mapq, "_LOW_MAPQ").otherwise(""), F.when(F.col("_high"), "_HIGH_MM_rate").otherwise(""),

@@ -11,7 +11,6 @@ from strandline.functions import names
 from strandline.operators import hotkeys, islands, junctions, segments
 from strandline.tables import load
 
-GENOMES = [f"T{i:02d}" for i in range(1, 33)] + [f"N{i:02d}" for i in range(1, 9)]
 CONTROL = "genome_id like 'N%'"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,8 +48,8 @@ jun as (select * exclude (x, y), regexp_extract(x, '^([+-]?)(.*):([0-9]+)$', 2)
     case x[1] when '+' then 1 when '-' then -1 end dir_a, case when y not like 'INS:%' then regexp_extract(y, '^([+-]?)(.*):([0-9]+)$', 2) end chr_b,
     case when y not like 'INS:%' then regexp_extract(y, ':([0-9]+)$', 1)::bigint end pos_b,
     case when y not like 'INS:%' then case y[1] when '+' then 1 when '-' then -1 end end dir_b
-  from (select distinct on (junction_key, genome_id, hp1, hp2) *, split_part(junction_key, '|', 1) x, split_part(junction_key, '|', 2) y
-    from junctions where junction_key is not null and genome_id is not null))"""
+  from (select *, split_part(junction_key, '|', 1) x, split_part(junction_key, '|', 2) y from junctions where junction_key is not null and genome_id is not null
+    qualify row_number() over (partition by junction_key, genome_id, hp1, hp2 order by supp desc nulls last, dv desc nulls last, vcf_id nulls first, is_pass nulls first) = 1))"""
 PAIRS = SEG + """,
 nb as (select genome_id, read_id, seg_id, ref_id, ref_start, ref_end, strand, read_start, read_end, haplotype, is_pass,
     lead(struct_pack(ref_id := ref_id, ref_start := ref_start, ref_end := ref_end, strand := strand, read_start := read_start, haplotype := haplotype, is_pass := is_pass))
@@ -81,6 +80,12 @@ def first_deliveries(spark: SparkSession, d: str) -> DataFrame:
     return segments.keep_first(load(spark, d, "segments"), ["seg_id"], ["loaded_at"]).select("genome_id", "read_id", "seg_id", "loaded_at")
 
 
+@query(f"""with {SEG}, s as (select * from split qualify row_number() over (partition by genome_id, read_id, read_start order by align_start nulls first, seg_id) = 1)
+select seg_id, read_start from s union all select seg_id, read_start from seg where is_insertion or is_clipped""")
+def distinct_starts(spark: SparkSession, d: str) -> DataFrame:
+    return segments.distinct_starts(_seg(spark, d)).select("seg_id", "read_start")
+
+
 @query(f"""with {SEG},
 r as (select genome_id, read_id, count(*) filter (not is_insertion and not is_clipped) n, count(*) filter (is_insertion) i,
   count(*) filter (is_clipped and coalesce(is_pass, 'PASS') = 'PASS') c from seg group by all)
@@ -158,7 +163,7 @@ def collapsed_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""with {SEG}, {BACKGROUND}, {MASK},
-hi as (select distinct seg_id from (select seg_id, ref_id, unnest(generate_series(ref_start // 1000, ref_end // 1000)) bin from seg, lim where mismatch_rate >= v) semi join masked using (ref_id, bin)),
+hi as (select distinct seg_id from (select seg_id, ref_id, unnest(generate_series(coalesce(ref_start_ori, ref_start) // 1000, coalesce(ref_end_ori, ref_end) // 1000)) bin from seg, lim where mismatch_rate >= v) semi join masked using (ref_id, bin)),
 l as (select seg_id, is_clipped, is_insertion, segment_length, mapq, sum(read_end - read_start) filter (not is_clipped) over (partition by genome_id, read_id) al,
   first_value(read_length) over (partition by genome_id, read_id order by align_start nulls first, read_start nulls first, seg_id) rl from seg),
 lab as (select *, case when mapq < 10 then '_LOW_MAPQ' else '' end || case when seg_id in (select seg_id from hi) then '_HIGH_MM_rate' else '' end

@@ -89,18 +89,18 @@ def overlap_shifts(spark: SparkSession, d: str) -> DataFrame:
     return calls.overlap_shift(_seg(spark, d))
 
 
-@query(f"""with {_COV}, {JUN}, o as (select junction_key, genome_id, coalesce(hp1, 0) haplotype, chr_a ref_id, pos_a // 1000 lo, pos_b // 1000 hi, vcf_sv_type, supp from jun
-  where vcf_sv_type in ('DUP', 'DEL') and chr_a = chr_b and pos_b > pos_a and pos_b - pos_a <= 2000000 and supp is not null),
-ib as (select junction_key, genome_id, haplotype, ref_id, unnest(generate_series(lo, hi)) bin from o),
-ob as (select junction_key, genome_id, haplotype, ref_id, unnest(generate_series(lo - 5, lo - 1) || generate_series(hi + 1, hi + 5)) bin from o),
-i as (select junction_key, genome_id, haplotype, coalesce(sum(n), 0) / count(*) d from ib left join cov using (genome_id, haplotype, ref_id, bin) group by all),
-f as (select junction_key, genome_id, haplotype, coalesce(sum(n), 0) / count(*) d from ob left join cov using (genome_id, haplotype, ref_id, bin) group by all)
+@query(f"""with {_COV}, {JUN}, o as (select junction_key, genome_id, coalesce(hp1, 0) haplotype, chr_a ref_id, pos_a // 1000 lo, pos_b // 1000 hi, vcf_sv_type, max(supp) supp from jun
+  where vcf_sv_type in ('DUP', 'DEL') and chr_a = chr_b and pos_b > pos_a and supp is not null group by all),
+k as (select distinct junction_key, genome_id, haplotype, ref_id, lo, hi from o),
+ib as (select junction_key, genome_id, haplotype, ref_id, unnest(generate_series(lo, hi)) bin from k),
+ob as (select junction_key, genome_id, haplotype, ref_id, unnest(generate_series(lo - 5, lo - 1) || generate_series(hi + 1, hi + 5)) bin from k),
+i as (select junction_key, genome_id, haplotype, floor(median(coalesce(n, 0))) d from ib left join cov using (genome_id, haplotype, ref_id, bin) group by all),
+f as (select junction_key, genome_id, haplotype, floor(median(coalesce(n, 0))) d from ob left join cov using (genome_id, haplotype, ref_id, bin) group by all)
 select junction_key, genome_id, haplotype, case vcf_sv_type when 'DUP' then 'tandem_duplication' else 'DEL' end call
 from o join i using (junction_key, genome_id, haplotype) join f using (junction_key, genome_id, haplotype)
 where vcf_sv_type = 'DUP' and i.d > f.d + 0.5 * supp or vcf_sv_type = 'DEL' and i.d < f.d - 1.5 * supp""")
 def coverage_calls(spark: SparkSession, d: str) -> DataFrame:
-    j = _jun(spark, d).dropDuplicates(["junction_key", "genome_id", "hp1", "hp2"])
-    return calls.coverage_calls(j, segments.coverage_histogram(_seg(spark, d)))
+    return calls.coverage_calls(_jun(spark, d), segments.coverage_histogram(_seg(spark, d)))
 
 
 @query(f"""with {_COV}, {JUN}, p as (select *, coalesce(hp1, 0) h, coalesce(hp2, 0) h2, coalesce(is_dup, false) known from jun where is_pass = 'PASS' and pos_b is not null),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names
-from strandline.operators import graph, islands, junctions, output, ranges, segments
-from strandline.plans.reference import CONTROL, GENOMES, JUN, SEG, _COV, _islands, _jun, _seg
+from strandline.operators import calls, graph, islands, junctions, output, ranges, segments
+from strandline.plans.reference import CONTROL, JUN, SEG, _COV, _islands, _jun, _seg
 from strandline.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,21 +206,22 @@ def reported_types(spark: SparkSession, d: str) -> DataFrame:
     return _jun(spark, d).groupBy(kind.alias("reported"), "vcf_sv_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {JUN} select junction_key from jun where is_pass = 'PASS' group by junction_key having min(supp) < 2""")
+@query(f"""with {JUN} select junction_key from jun group by junction_key having bool_or(is_pass = 'PASS') and min(supp) < 2""")
 def weak_members(spark: SparkSession, d: str) -> DataFrame:
-    """Passed junctions of which a genome has fewer than two supporting reads."""
-    return _jun(spark, d).where("is_pass = 'PASS'").groupBy("junction_key").agg(F.min("supp").alias("least")).where("least < 2").select("junction_key")
+    """Junctions of which some row passed and some, passed or not, has fewer than two supporting reads."""
+    by = _jun(spark, d).groupBy("junction_key").agg(F.min("supp").alias("least"), F.max(F.col("is_pass") == "PASS").alias("passed"))
+    return by.where("passed and least < 2").select("junction_key")
 
 
-@query(f"""with {_COV}, {JUN}, x as (select junction_key, genome_id, chr_a ref_id, unnest(generate_series(pos_a // 1000, pos_b // 1000)) bin from jun where vcf_sv_type = 'DEL' and chr_a = chr_b and pos_b >= pos_a and pos_b - pos_a <= 2000000),
+@query(f"""with {_COV}, {JUN}, x as (select distinct junction_key, genome_id, chr_a ref_id, unnest(generate_series(pos_a // 1000, pos_b // 1000)) bin from jun where vcf_sv_type = 'DEL' and chr_a = chr_b and pos_b >= pos_a),
 f as (select x.junction_key, genome_id, h.haplotype, coalesce(n, 0) n from x cross join (values (0), (1), (2)) h(haplotype) left join cov using (genome_id, ref_id, bin, haplotype))
 select junction_key, genome_id, haplotype, floor(median(n))::bigint coverage from f group by all""")
 def deletion_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """Whole median coverage inside each deletion by haplotype; bins without segments count as 0."""
-    j = _jun(spark, d).where("vcf_sv_type = 'DEL' and chr_a = chr_b and pos_b >= pos_a and pos_b - pos_a <= 2000000").select("junction_key", "genome_id", F.col("chr_a").alias("ref_id"), "pos_a", "pos_b")
-    inside = segments.bins(j, F.floor(F.col("pos_a") / 1000), F.floor(F.col("pos_b") / 1000)).withColumn("haplotype", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    full = inside.join(segments.coverage_histogram(_seg(spark, d)), ["genome_id", "ref_id", "bin", "haplotype"], "left")
-    return full.groupBy("junction_key", "genome_id", "haplotype").agg(F.floor(F.median(F.coalesce("n", F.lit(0)))).alias("coverage"))
+    """Whole median coverage inside each deletion, of any length, by haplotype; bins without segments count as 0."""
+    j = _jun(spark, d).where("vcf_sv_type = 'DEL' and chr_a = chr_b and pos_b >= pos_a")
+    wanted = j.select("junction_key", "genome_id", F.col("chr_a").alias("ref_id"), F.floor(F.col("pos_a") / 1000).alias("low"), F.floor(F.col("pos_b") / 1000).alias("high")).distinct()
+    wanted = wanted.withColumn("haplotype", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    return calls.median_depth(wanted, segments.coverage_histogram(_seg(spark, d)), ["junction_key", "genome_id", "haplotype"]).withColumnRenamed("depth", "coverage")
 
 
 # The breakpoint graph: an end belongs to the place of ends at most 1000 apart, a junction joins the places of its two ends.
@@ -267,10 +268,16 @@ def component_types(spark: SparkSession, d: str) -> DataFrame:
 
 # Result rows.
 
+#: Fixed value: the people in the panel.
+PANEL_SIZE = 1019
 
-@query(f"with {JUN} select junction_key, " + ", ".join(f"coalesce(max(is_pass) filter (genome_id = '{g}'), '') \"{g}_label\", coalesce(sum(supp) filter (genome_id = '{g}'), 0)::bigint \"{g}_support\"" for g in GENOMES) + " from jun group by all")
+
+@query(f"""with {JUN}, k as (select distinct junction_key from jun), g as (select distinct genome_id from jun),
+s as (select junction_key, genome_id, max(is_pass) l, sum(supp)::bigint s from jun group by all)
+select junction_key, genome_id, coalesce(l, '') "label", coalesce(s, 0) support from k cross join g left join s using (junction_key, genome_id)""")
 def support_table(spark: SparkSession, d: str) -> DataFrame:
-    return output.support_table(_jun(spark, d), GENOMES)
+    """Label and support of every junction in every genome, from the table with a pair of columns for each genome."""
+    return output.support_rows(output.support_table(_jun(spark, d)))
 
 
 @query(f"""with {JUN}, r as (select distinct junction_key, genome_id, unnest(supp_read_ids) read from jun) select junction_key, genome_id, string_agg(read, '; ' order by read) reads from r where read is not null group by all""")
@@ -278,36 +285,49 @@ def read_lists(spark: SparkSession, d: str) -> DataFrame:
     return output.read_lists(_jun(spark, d))
 
 
-@query(f"""with {JUN}, k as (select * from jun where vcf_id is not null and vcf_sv_type is not null and pos_a is not null),
-x as (select *, concat_ws(';', case when prec = 1 then 'PRECISE' else 'IMPRECISE' end, 'SVTYPE=' || vcf_sv_type, case when vcf_sv_type <> 'BND' then 'SVLEN=' || length end,
-    case when vcf_sv_type <> 'BND' then 'END=' || pos_b end, 'STRANDS=' || case when dir_a > 0 then '+' when dir_a < 0 then '-' end || case when dir_b > 0 then '+' when dir_b < 0 then '-' end,
-    case when vntr is not null then 'INSIDE_VNTR=TRUE' end, 'CLUSTERID=' || cluster_id) info, vcf_sv_type = 'BND' and pos_b is not null bnd from k),
-alt as (select *, case when dir_a > 0 then 'N' || case when dir_b > 0 then ']' else '[' end || chr_b || ':' || pos_b || case when dir_b > 0 then ']' else '[' end
-    else case when dir_b > 0 then ']' else '[' end || chr_b || ':' || pos_b || case when dir_b > 0 then ']' else '[' end || 'N' end alt_a,
-  case when dir_b > 0 then 'N' || case when dir_a > 0 then ']' else '[' end || chr_a || ':' || pos_a || case when dir_a > 0 then ']' else '[' end
-    else case when dir_a > 0 then ']' else '[' end || chr_a || ':' || pos_a || case when dir_a > 0 then ']' else '[' end || 'N' end alt_b from x)
-select chr_a chrom, pos_a pos, case when bnd then vcf_id || '_1' else vcf_id end id, case when bnd then alt_a else '<' || vcf_sv_type || '>' end alt, round(vcf_qual, 1) qual, is_pass as "filter", info, genome_id from alt
-union all select chr_b, pos_b, vcf_id || '_2', alt_b, round(vcf_qual, 1), is_pass, info, genome_id from alt where bnd""")
+@query(f"""with {JUN}, k as (select *, coalesce(is_single, false) one, list_min(inv_bounds) lo, list_max(inv_bounds) hi, vcf_sv_type = 'INV' and not coalesce(is_single, false) and inv_bounds is not null inv,
+    case when dir_a > 0 then '+' when dir_a is not null then '-' end || case when dir_b > 0 then '+' when dir_b is not null then '-' end strands from jun where vcf_id is not null and vcf_sv_type is not null and pos_a is not null),
+x as (select *, vcf_sv_type = 'BND' and not one and pos_b is not null bnd, case when inv then hi - lo else length end len, coalesce(hp1 > 0 and phaseset1 is not null, false) phased from k where not coalesce(inv and dir_a = -1, false)),
+m as (select *, unnest(case when bnd then [1, 2] else [0] end) mate from x),
+y as (select *, case when dir_a > 0 then ['N', ''] else ['', 'N'] end na, case when dir_b > 0 then ['N', ''] else ['', 'N'] end nb, case when dir_a > 0 then ']' else '[' end ba, case when dir_b > 0 then ']' else '[' end bb from m)
+select case mate when 2 then chr_b else chr_a end chrom, case when mate = 2 then pos_b when inv then lo else pos_a end pos, vcf_id || case mate when 0 then '' else '_' || mate end id,
+  case when mate = 1 then na[1] || bb || chr_b || ':' || pos_b || bb || na[2] when mate = 2 then nb[1] || ba || chr_a || ':' || pos_a || ba || nb[2]
+    when one then case when dir_a = -1 then '.N' else 'N.' end else '<' || vcf_sv_type || '>' end alt,
+  round(vcf_qual, 1) qual, is_pass as "filter", genome_id,
+  concat_ws(';', case when prec = 1 then 'PRECISE' else 'IMPRECISE' end, 'SVTYPE=' || case when one then 'sBND' else vcf_sv_type end, case when len > 0 then 'SVLEN=' || len end,
+    case when vcf_sv_type in ('DEL', 'DUP', 'INV') and not one then 'END=' || case when inv then hi else pos_b end end, case when mate > 0 then 'MATE_ID=' || vcf_id || '_' || (3 - mate) end, 'ALIGNED_POS=' || tra_pos,
+    'STRANDS=' || strands, case when vntr is not null then 'INSIDE_VNTR=TRUE' end, 'DETAILED_TYPE=' || case when inv then 'reciprocal_inversion' else sv_type end, 'MAPQ=' || round(vcf_qual, 1),
+    case when phased then 'PHASESETID=' || case when phaseset1 = coalesce(phaseset2, phaseset1) then phaseset1::varchar else phaseset1 || '|' || phaseset2 end end, case when phased then 'HP=' || hp1 end, 'CLUSTERID=' || cluster_id) info from y""")
 def vcf_rows(spark: SparkSession, d: str) -> DataFrame:
-    return output.vcf_rows(_jun(spark, d)).drop("sample")
+    return output.vcf_rows(_jun(spark, d))
+
+
+@query(f"""with {JUN}, s as (select junction_key, genome_id, coalesce(sum(supp), 0)::bigint dv, coalesce(max(dr), 0) dr, coalesce(max(vaf), 0.0) v, coalesce(max(hvaf) filter (coalesce(hp1, 0) = 0), 0.0) a,
+  coalesce(max(hvaf) filter (hp1 = 1), 0.0) b, coalesce(max(hvaf) filter (hp1 = 2), 0.0) c from jun group by all)
+select junction_key, genome_id, case when dv = 0 then './.:0:0,0,0:' || dr || ':0' else format('0/1:{{:.2f}}:{{:.2f}},{{:.2f}},{{:.2f}}:{{}}:{{}}', round(v::varchar::decimal(18, 9), 2)::double, round(a::varchar::decimal(18, 9), 2)::double, round(b::varchar::decimal(18, 9), 2)::double, round(c::varchar::decimal(18, 9), 2)::double, dr, dv) end "sample" from s""")
+def vcf_samples(spark: SparkSession, d: str) -> DataFrame:
+    return output.vcf_samples(_jun(spark, d))
 
 
-@query("""select panel_id, chrom chr1, pos pos1, case upper(svtype) when 'INS' then chrom else coalesce(chr2, chrom) end chr2, case upper(svtype) when 'INS' then abs(svlen) else stop_pos end pos2, svtype, round(carriers / 1019, 6) vaf from panel_records""")
+@query(f"""select panel_id, chrom chr1, pos pos1, case upper(svtype) when 'INS' then chrom else coalesce(chr2, chrom) end chr2, case upper(svtype) when 'INS' then abs(svlen) else stop_pos end pos2, svtype, round(carriers / {PANEL_SIZE}, 6) vaf from panel_records""")
 def panel_rows(spark: SparkSession, d: str) -> DataFrame:
     """Panel records in the columns of a panel file: the length in place of an insertion's end, and the carriers' share."""
     is_ins = F.coalesce(F.upper("svtype") == "INS", F.lit(False))
     return load(spark, d, "panel_records").select(
         "panel_id", F.col("chrom").alias("chr1"), F.col("pos").alias("pos1"), F.when(is_ins, F.col("chrom")).otherwise(F.coalesce("chr2", "chrom")).alias("chr2"),
-        F.when(is_ins, F.abs("svlen")).otherwise(F.col("stop_pos")).alias("pos2"), "svtype", F.round(F.col("carriers") / 1019, 6).alias("vaf"),
+        F.when(is_ins, F.abs("svlen")).otherwise(F.col("stop_pos")).alias("pos2"), "svtype", F.round(F.col("carriers") / PANEL_SIZE, 6).alias("vaf"),
     )
 
 
-_PAF = "a as (select distinct on (aln_id) * from paf where mapq >= 10 and qry_end - qry_start > 50 and coalesce(type_tag not like '%S', true) and qry_id is not null and ref_id is not null)"
+_PAF = """a as (select * from paf where mapq >= 10 and qry_end - qry_start > 50 and coalesce(type_tag not like '%S', true) and qry_id is not null and ref_id is not null
+  qualify row_number() over (partition by aln_id order by loaded_at nulls last, mapq desc) = 1)"""
 
 
 def _alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Alignments that count, the first delivery of each that does."""
     kept = "mapq >= 10 and qry_end - qry_start > 50 and not coalesce(endswith(type_tag, 'S'), false) and qry_id is not null and ref_id is not null"
-    return load(spark, d, "paf").dropDuplicates(["aln_id"]).where(kept)
+    first = Window.partitionBy("aln_id").orderBy(F.asc_nulls_last("loaded_at"), F.desc("mapq"))
+    return load(spark, d, "paf").where(kept).withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
 @query(f"""with {_PAF}, v as (select qry_id from a where ref_id like 'NC%' or ref_id like 'K%')

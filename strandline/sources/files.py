@@ -36,11 +36,27 @@ def sam_contigs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"\tSN:([^\t]+)", 1).alias("ref_id"), F.regexp_extract("value", r"\tLN:([0-9]+)", 1).try_cast("long").alias("length"))
 
 
+def _bed_lines(spark: SparkSession, path: str) -> tuple[DataFrame, Column]:
+    lines = spark.read.text(path).where(F.trim("value") != "").where(~F.col("value").rlike(r"\A(#|track\s|browser\s)"))
+    return lines, F.split(F.trim("value"), r"\s+")
+
+
+def _bed_reason(f: Column) -> Column:
+    """The first reason why a line is no interval, null if it is one."""
+    start, end = (F.get(f, F.lit(i)).try_cast("long") for i in (1, 2))
+    return F.when(F.size(f) < 3, "columns").when(start.isNull() | end.isNull(), "number").when(end < start, "order")
+
+
+def bed_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a BED file that are no interval, with the reason: columns, number or order. Blank, comment, track and browser lines are none."""
+    lines, f = _bed_lines(spark, path)
+    return lines.select("value", _bed_reason(f).alias("reason")).where("reason is not null")
+
+
 def bed(spark: SparkSession, path: str, pad: int = 25) -> DataFrame:
-    """Intervals of a BED file with both ends padded; lines without two whole numbers are left out."""
-    lines = spark.read.text(path)
-    f = F.split(F.trim("value"), r"\s+")
-    rows = lines.select(f[0].alias("ref_id"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end")).dropna()
+    """Intervals of a BED file with both ends padded; other lines are in bed_rejects."""
+    lines, f = _bed_lines(spark, path)
+    rows = lines.where(_bed_reason(f).isNull()).select(f[0].alias("ref_id"), F.get(f, F.lit(1)).try_cast("long").alias("start"), F.get(f, F.lit(2)).try_cast("long").alias("end")).dropna()
     return rows.withColumns({"pad_start": F.col("start") - pad, "pad_end": F.col("end") + pad})
 
 
@@ -60,7 +76,9 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
     """Records of a VCF file: chrom, pos, id, alt, filter, info as a map, format keys and samples as arrays of text."""
     f = _fields(lines := spark.read.text(path))
     pairs = F.transform(F.split(F.get(f, F.lit(7)), ";"), lambda x: F.struct(F.split(x, "=", 2)[0].alias("key"), F.get(F.split(x, "=", 2), F.lit(1)).alias("value")))
-    info = F.map_from_entries(F.array_distinct(pairs))
+    # Of a key that is there twice the first value counts.
+    once = F.filter(pairs, lambda x, i: F.forall(F.slice(pairs, 1, i), lambda y: y["key"] != x["key"]))
+    info = F.map_from_entries(once)
     return lines.where(~F.col("value").startswith("#")).where(F.size(f) >= 8).select(
         f[0].alias("chrom"), F.get(f, F.lit(1)).try_cast("long").alias("pos"), F.get(f, F.lit(2)).alias("id"), F.get(f, F.lit(4)).alias("alt"), F.get(f, F.lit(6)).alias("filter"), info.alias("info"),
         F.split(F.get(f, F.lit(8)), ":").alias("format"), F.transform(F.slice(f, F.lit(10), F.size(f)), lambda s: F.split(s, ":")).alias("samples"),
