@@ -49,24 +49,31 @@ def clips(segments: DataFrame, longer_than: int = 500) -> DataFrame:
     return reads.select(*READ, F.inline(F.array(head, tail))).where(F.col("length") > longer_than)
 
 
-def adjacent_pairs(segments: DataFrame, max_distance: int = 1000) -> DataFrame:
-    """Connections of neighbouring split segments of a read that leave less than max_distance of it between them, first end first on the axis."""
+def adjacent_pairs(segments: DataFrame, max_distance: int = 1000, more: tuple[str, ...] = ()) -> DataFrame:
+    """Connections of neighbouring split segments of a read that leave less than max_distance of it between them, first end first on the axis.
+
+    gap is what they leave of the read; more names further columns of the segments, which both ends carry.
+    """
     rows = segments.where(f"{IS_SPLIT} and (is_pass = 'PASS' or segment_length >= {max_distance})")
     along = Window.partitionBy(*READ).orderBy("align_start", "read_start", "seg_id")
-    one = F.struct("seg_id", "ref_id", "ref_start", "ref_end", "strand", "read_start", "read_end", "haplotype", "is_pass")
+    one = F.struct(*dict.fromkeys(["seg_id", "ref_id", "ref_start", "ref_end", "strand", "read_start", "read_end", "haplotype", "is_pass", *more]))
     pairs = rows.select(*READ, one.alias("x"), F.lead(one).over(along).alias("y")).where(F.col("y").isNotNull() & (F.col("y.read_start") - F.col("x.read_end") < max_distance))
     forward = F.col("y.read_start") > F.col("x.read_start")
+    kept = ["chr", "pos", "dir", "hp", "passed", *more]
 
     def side(s: str, when_forward: str) -> Column:
         other = "left" if when_forward == "right" else "right"
         a, b = (names.end_of(k, F.col(f"{s}.strand"), F.col(f"{s}.ref_start"), F.col(f"{s}.ref_end")) for k in (when_forward, other))
         end = F.when(forward, a).otherwise(b)
-        return F.struct(F.col(f"{s}.ref_id").alias("chr"), end["pos"].alias("pos"), end["dir"].alias("dir"), F.col(f"{s}.haplotype").alias("hp"))
+        passed = F.coalesce(F.col(f"{s}.is_pass") == "PASS", F.lit(False))
+        own = [F.col(f"{s}.ref_id").alias("chr"), end["pos"].alias("pos"), end["dir"].alias("dir"), F.col(f"{s}.haplotype").alias("hp"), passed.alias("passed")]
+        return F.struct(*own, *[F.col(f"{s}.{c}").alias(c) for c in more])
 
-    ends = pairs.select(*READ, F.col("x.seg_id").alias("seg_id"), side("x", "right").alias("p"), side("y", "left").alias("q"), (F.coalesce(F.col("x.is_pass") == "PASS", F.lit(False)) & F.coalesce(F.col("y.is_pass") == "PASS", F.lit(False))).alias("passed"))
+    gap = (F.col("y.read_start") - F.col("x.read_end")).alias("gap")
+    ends = pairs.select(*READ, F.col("x.seg_id").alias("seg_id"), gap, side("x", "right").alias("p"), side("y", "left").alias("q"))
     first = F.when(F.col("p.pos") <= F.col("q.pos"), F.struct(F.col("p").alias("a"), F.col("q").alias("b"))).otherwise(F.struct(F.col("q").alias("a"), F.col("p").alias("b")))
-    cols = [F.col(f"_o.{e}.{f}").alias(f"{f}_{e}") for e in "ab" for f in ("chr", "pos", "dir", "hp")]
-    return ends.withColumn("_o", first).select(*READ, "seg_id", *cols, "passed")
+    cols = [F.col(f"_o.{e}.{f}").alias(f"{f}_{e}") for e in "ab" for f in kept]
+    return ends.withColumn("_o", first).select(*READ, "seg_id", *cols, (F.col("_o.a.passed") & F.col("_o.b.passed")).alias("passed"), "gap")
 
 
 def bins(df: DataFrame, first: Column, last: Column) -> DataFrame:

@@ -4,10 +4,10 @@ import duckdb
 import planted
 import pytest
 
-from strandline.plans import reference, reference_calls, reference_joins
+from strandline.plans import reference, reference_calls, reference_evidence, reference_joins
 
-QUERIES = reference.QUERIES | reference_joins.QUERIES | reference_calls.QUERIES
-SQL = reference.SQL | reference_joins.SQL | reference_calls.SQL
+QUERIES = reference.QUERIES | reference_joins.QUERIES | reference_calls.QUERIES | reference_evidence.QUERIES
+SQL = reference.SQL | reference_joins.SQL | reference_calls.SQL | reference_evidence.SQL
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,6 @@ def test_same_rows_as_sql(spark, folders, name):
     assert a, "no row: the planted tables don't exercise it"
 
 
-@pytest.mark.parametrize("name", ["adjacent_pairs", "junction_support", "label_summary", "insertion_clusters", "phase_sets", "graph_components", "vcf_rows", "anchored_ends", "nearest_clips", "support_table"])
+@pytest.mark.parametrize("name", ["adjacent_pairs", "junction_support", "label_summary", "insertion_clusters", "phase_sets", "graph_components", "vcf_rows", "anchored_ends", "nearest_clips", "support_table", "junction_checks", "one_sided_junctions", "insertion_checks", "simple_coverage", "named_fragments", "spanned_repeats"])
 def test_empty_tables(spark, folders, name):
     assert QUERIES[name](spark, folders[1]).count() == 0
