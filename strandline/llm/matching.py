@@ -60,7 +60,8 @@ def read_lists(queries: DataFrame, postings: DataFrame) -> DataFrame:
     bounds = postings.groupBy("token").agg(F.max("weight").alias("bound"), F.min("weight").alias("least"))
     tokens = F.explode(F.array_distinct(F.concat("anchors", "others")))
     asked = queries.select(F.col("id").alias("query"), "anchors", tokens.alias("token")).withColumn("is_anchor", F.array_contains("anchors", F.col("token"))).drop("anchors")
-    own = join_split(asked, cut(bounds), ["token"])
+    # One row per token on this side, so the merge join's hot tokens are left to adaptive execution.
+    own = asked.join(bounds.hint("merge"), "token")
     rising = Window.partitionBy("query").orderBy("bound", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     floors = own.withColumn("floor", F.min(F.when(F.col("is_anchor"), F.col("least"))).over(Window.partitionBy("query"))).where("floor is not null")
     return floors.select("query", "token", "bound", "floor", (F.sum("bound").over(rising) >= F.col("floor") - NEAR).alias("reads"))
