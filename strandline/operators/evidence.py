@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.names import junction_key
 from strandline.lineage import cut
 from strandline.operators import hotkeys, islands, ranges, segments
 
@@ -248,3 +249,37 @@ def named_fragments(rows: DataFrame, least: int = 1) -> DataFrame:
     sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
     more = F.coalesce(F.sum("k").over(Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return counts.join(sizes.select("n", (more + 1).alias("number")), "n").select("ref_id", "left_place", "right_place", "n", "number")
+
+
+# Junctions of the reads themselves, in the columns of a junction table.
+
+
+def as_junctions(rows: DataFrame) -> DataFrame:
+    """Junctions and insertions that the segments show, a row per key, genome and haplotypes, in the columns of junctions.with_ends.
+
+    Pairs of places of connections (detected) are typed by their directions; clusters of insertions by place and length with a passed one are INS. All
+    have passed and none has a repeat, phase set or quality.
+    """
+    conns = connections(rows)
+    spots = cut(places(conns))
+    at = lambda e: spots.select(F.col("node").alias(f"node_{e}"), *[F.col(c).alias(f"{t}_{e}") for c, t in (("chr", "chr"), ("dir", "dir"), ("position", "pos"))])
+    pairs = detected(conns, spots).select(*KEY).distinct().join(at("a"), "node_a").join(at("b"), "node_b")
+    named = pairs.select(*KEY, *[f"{c}_{e}" for e in "ab" for c in ("chr", "pos", "dir")])
+    full = conns.select(*KEY, "genome_id", F.col("hp_a").alias("hp1"), F.col("hp_b").alias("hp2"), "read_id").join(named, KEY)
+    kind = F.when(F.col("chr_a") != F.col("chr_b"), "BND").when(F.col("dir_a") == F.col("dir_b"), "INV").when(F.col("dir_a") == 1, "DEL").otherwise("DUP")
+    key = junction_key(*[F.col(f"{c}_{e}") for e in "ab" for c in ("chr", "pos", "dir")])
+    length = F.when(F.col("chr_a") == F.col("chr_b"), F.abs(F.col("pos_b") - F.col("pos_a")))
+    two = full.select(key.alias("junction_key"), "genome_id", "hp1", "hp2", "read_id", kind.alias("vcf_sv_type"), length.alias("length"), *[f"{c}_{e}" for e in "ab" for c in ("chr", "pos", "dir")])
+
+    ins = rows.where("is_insertion and segment_length is not null").select("genome_id", "read_id", "haplotype", "ref_id", "ref_end", "segment_length", F.coalesce(F.col("is_pass") == "PASS", F.lit(False)).alias("passed"))
+    sized = cut(islands.value_clusters(islands.gap_clusters(ins, ["ref_id"], "ref_end", 1000), ["ref_id", "cluster"], "segment_length", F.greatest(F.lit(50.0), 0.25 * F.col("_before"))))
+    group = ["ref_id", "cluster", "level"]
+    spot = sized.where("passed").groupBy(*group).agg(F.floor(F.median("ref_end")).alias("pos_a"), F.floor(F.median("segment_length")).alias("length"))
+    one = sized.join(spot, group).select(
+        F.concat(F.col("ref_id"), F.lit(":"), F.col("pos_a"), F.lit("|INS:"), F.col("length")).alias("junction_key"), "genome_id", F.col("haplotype").alias("hp1"), F.col("haplotype").alias("hp2"), "read_id",
+        F.lit("INS").alias("vcf_sv_type"), "length", F.col("ref_id").alias("chr_a"), "pos_a", *[F.lit(None).cast(k).alias(c) for c, k in (("dir_a", "int"), ("chr_b", "string"), ("pos_b", "long"), ("dir_b", "int"))],
+    )
+    every = two.unionByName(one)
+    by = every.groupBy(*[c for c in every.columns if c != "read_id"]).agg(F.count_distinct("read_id").alias("supp"), F.array_sort(F.collect_set("read_id")).alias("supp_read_ids"))
+    empty = {"sv_type": "string", "phaseset1": "long", "phaseset2": "long", "vntr": "struct<vntr_start:bigint,vntr_end:bigint>", "gr_id": "string"}
+    return by.withColumns({c: F.lit(None).cast(k) for c, k in empty.items()} | {"is_pass": F.lit("PASS"), "is_single": F.lit(False), "is_dup": F.col("vcf_sv_type") == "DUP", "size": F.when(F.col("vcf_sv_type") == "INS", F.col("length"))})

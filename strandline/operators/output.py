@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names
@@ -47,11 +47,11 @@ def _field(name: str, value: Column, where: Column | None = None) -> Column:
     return text if where is None else F.when(where, text)
 
 
-def vcf_rows(rows: DataFrame) -> DataFrame:
+def vcf_rows(rows: DataFrame, *more: str) -> DataFrame:
     """VCF records of junctions with ends: two mates for a breakend, one record otherwise; positions stay zero-based.
 
     A one-sided end says by the dot on which side its unknown rest lies. An inversion with known bounds is one record over these, from its first of the two
-    junctions. A breakend's mates name each other; haplotype and phase set come together or not at all.
+    junctions. A breakend's mates name each other; haplotype and phase set come together or not at all. more names further columns to keep.
     """
     kind, single = F.col("vcf_sv_type"), F.coalesce("is_single", F.lit(False))
     is_bnd = (kind == "BND") & ~single & F.col("pos_b").isNotNull()
@@ -81,7 +81,7 @@ def vcf_rows(rows: DataFrame) -> DataFrame:
     alt = F.when(single, F.when(F.col("dir_a") == -1, ".N").otherwise("N.")).otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
     one = record("chr_a", F.when(is_inv, low).otherwise(F.col("pos_a")), "", alt, None)
     kept = rows.where("vcf_id is not null and vcf_sv_type is not null and pos_a is not null").where(~F.coalesce(is_inv & (F.col("dir_a") == -1), F.lit(False)))
-    return kept.select(F.inline(F.when(is_bnd, F.array(first, second)).otherwise(F.array(one))), F.round("vcf_qual", 1).alias("qual"), F.col("is_pass").alias("filter"), "genome_id")
+    return kept.select(F.inline(F.when(is_bnd, F.array(first, second)).otherwise(F.array(one))), F.round("vcf_qual", 1).alias("qual"), F.col("is_pass").alias("filter"), "genome_id", *more)
 
 
 def vcf_samples(rows: DataFrame) -> DataFrame:
@@ -93,3 +93,12 @@ def vcf_samples(rows: DataFrame) -> DataFrame:
     two = lambda c: F.format_string("%.2f", F.round(F.coalesce(c, F.lit(0.0)), 2))
     some = F.concat_ws(":", F.lit("0/1"), two(F.col("vaf")), F.concat_ws(",", *[two(F.col(f"h{h}")) for h in range(3)]), F.col("dr"), F.col("dv"))
     return by.select("junction_key", "genome_id", F.when(F.col("dv") == 0, F.concat(F.lit("./.:0:0,0,0:"), F.col("dr"), F.lit(":0"))).otherwise(some).alias("sample"))
+
+
+def vcf_table(rows: DataFrame, genomes: list[str]) -> DataFrame:
+    """One record per junction, or two for a breakend, from its row with most support, with samples, an array of a text for each of genomes; a genome without the junction has ./.:0:0,0,0:0:0."""
+    best = Window.partitionBy("junction_key").orderBy(F.desc_nulls_last("supp"), "genome_id", F.asc_nulls_first("hp1"), F.asc_nulls_first("hp2"))
+    records = vcf_rows(rows.where("vcf_id is not null").withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r"), "junction_key").drop("genome_id")
+    held = vcf_samples(rows).groupBy("junction_key").agg(F.map_from_entries(F.collect_list(F.struct("genome_id", "sample"))).alias("_s"))
+    samples = F.transform(F.array(*[F.lit(g) for g in genomes]), lambda g: F.coalesce(F.try_element_at("_s", g), F.lit("./.:0:0,0,0:0:0")))
+    return records.join(held, "junction_key").withColumn("samples", samples).drop("_s")

@@ -68,8 +68,8 @@ pairs as (select genome_id, read_id, seg_id, passed, a.chr chr_a, a.pos pos_a, a
 def _islands(source: str, keys: str, pos: str, gap: int, to: str, frm: str) -> str:
     """CTEs that add column `to`, the first position of each row's gap cluster."""
     return f""",
-{to}_m as (select *, case when coalesce({pos} - lag({pos}) over w > {gap}, true) then {pos} end opens from {source} window w as (partition by {keys} order by {pos})),
-{frm} as (select * exclude (opens), max(opens) over (partition by {keys} order by {pos} range between unbounded preceding and current row) {to} from {to}_m)"""
+{frm}_m as (select *, case when coalesce({pos} - lag({pos}) over w > {gap}, true) then {pos} end opens from {source} window w as (partition by {keys} order by {pos})),
+{frm} as (select * exclude (opens), max(opens) over (partition by {keys} order by {pos} range between unbounded preceding and current row) {to} from {frm}_m)"""
 
 
 # Segments.

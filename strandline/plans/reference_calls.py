@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import calls, graph, islands, junctions, segments
 from strandline.plans.reference import JUN, PAIRS, SEG, _COV, _islands, _jun, _seg
-from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _positions, _repeats
+from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _positions, _repeats, types_of
 from strandline.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,10 +278,7 @@ def linked_components(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def linked_component_types(spark: SparkSession, d: str) -> DataFrame:
     """Junctions by kind of each linked component that has more than one junction."""
-    edges, parts = _linked(spark, d)
-    of = edges.join(parts.withColumnRenamed("node", "src"), "src")
-    several = of.groupBy("component").agg(F.count_distinct("junction_key").alias("k")).where("k > 1").select("component")
-    return of.groupBy("component", "vcf_sv_type").agg(F.count_distinct("junction_key").alias("n_junctions")).join(several, "component", "left_semi")
+    return types_of(*_linked(spark, d))
 
 
 @query()

@@ -231,8 +231,9 @@ _GRAPH = f"""{JUN}, e as (select junction_key, hp1, hp2, chr_a chr, pos_a pos, 1
 edges as (select x.chr || ':' || x.c src, y.chr || ':' || y.c dst, x.genome_id, x.junction_key, x.supp, x.vcf_sv_type from ec x join ec y on x.junction_key = y.junction_key and x.genome_id = y.genome_id and x.hp1 is not distinct from y.hp1 and x.hp2 is not distinct from y.hp2 and x.side = 1 and y.side = 2)"""
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    j = _jun(spark, d).where("chr_b is not null and is_pass = 'PASS'")
+def edges_of(rows: DataFrame) -> DataFrame:
+    """Passed junctions with two ends as edges between the places of their ends."""
+    j = rows.where("chr_b is not null and is_pass = 'PASS'")
     side = lambda e, n: F.struct(F.col(f"chr_{e}").alias("chr"), F.col(f"pos_{e}").alias("pos"), F.lit(n).alias("side"))
     ends = j.select("junction_key", "genome_id", "hp1", "hp2", "supp", "vcf_sv_type", F.inline(F.array(side("a", 1), side("b", 2))))
     placed = islands.gap_clusters(ends, ["chr"], "pos", 1000, "c").withColumn("node", F.concat_ws(":", "chr", "c"))
@@ -240,6 +241,17 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return placed.groupBy(*key).agg(F.max(F.when(F.col("side") == 1, F.col("node"))).alias("src"), F.max(F.when(F.col("side") == 2, F.col("node"))).alias("dst"))
 
 
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return edges_of(_jun(spark, d))
+
+
+def types_of(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """Junctions by kind of each component that has more than one junction."""
+    of = edges.join(parts.withColumnRenamed("node", "src"), "src")
+    several = of.groupBy("component").agg(F.count_distinct("junction_key").alias("k")).where("k > 1").select("component")
+    return of.groupBy("component", "vcf_sv_type").agg(F.count_distinct("junction_key").alias("n_junctions")).join(several, "component", "left_semi")
+
+
 @query(f"with {_GRAPH} select src, dst, genome_id, count(*) n, sum(supp)::bigint support from edges group by all")
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).groupBy("src", "dst", "genome_id").agg(F.count(F.lit(1)).alias("n"), F.sum("supp").alias("support"))
@@ -258,12 +270,8 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""{_REACH} select component, vcf_sv_type, count(distinct junction_key) n_junctions from edges join comp on node = src
 where component in (select component from edges join comp on node = src group by all having count(distinct junction_key) > 1) group by all""")
 def component_types(spark: SparkSession, d: str) -> DataFrame:
-    """Junctions by kind of each component that has more than one junction."""
     edges = _edges(spark, d)
-    of = edges.join(graph.components(edges, "src", "dst").withColumnRenamed("node", "src"), "src")
-    by = of.groupBy("component", "vcf_sv_type").agg(F.count_distinct("junction_key").alias("n_junctions"))
-    several = of.groupBy("component").agg(F.count_distinct("junction_key").alias("k")).where("k > 1").select("component")
-    return by.join(several, "component", "left_semi")
+    return types_of(edges, graph.components(edges, "src", "dst"))
 
 
 # Result rows.

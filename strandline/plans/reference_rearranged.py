@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import calls, cigar, evidence, graph, rearrangements, segments
+from strandline.operators import cigar, evidence, graph, rearrangements, segments
 from strandline.plans.reference import JUN, SEG, _islands, _jun, _seg
 from strandline.plans.reference_evidence import _DET
 from strandline.plans.reference_joins import _REACH, _edges
@@ -62,12 +62,16 @@ rb as (select i.junction_key, target from t join i on chr = chr_b left join q on
 routes as (select i.junction_key, target, 'dup' route from t join i on chr = chr_a where known and p >= pos_a and p < pos_b and length <= 1.2 * z union select junction_key, target, 'a' from ra union select junction_key, target, 'b' from rb)"""
 
 
-def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    j = _jun(spark, d)
-    split = _seg(spark, d).where(segments.IS_SPLIT).select("read_id", "ref_id", "segment_length").where("segment_length is not null")
+def routes_of(j: DataFrame, seg: DataFrame) -> DataFrame:
+    split = seg.where(segments.IS_SPLIT).select("read_id", "ref_id", "segment_length").where("segment_length is not null")
     reads = j.select("junction_key", F.explode("supp_read_ids").alias("read_id")).distinct()
     lengths = reads.join(split, "read_id").groupBy("junction_key", F.col("ref_id").alias("chr")).agg(F.percentile("segment_length", 0.9).alias("q90"))
-    return j, rearrangements.long_insertions(j, lengths)
+    return rearrangements.long_insertions(j, lengths)
+
+
+def _routes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    j = _jun(spark, d)
+    return j, routes_of(j, _seg(spark, d))
 
 
 @query(f"with {_ROUTES} select * from routes")

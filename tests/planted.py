@@ -43,6 +43,7 @@ def segments(r, n=500):
     place = {"genome_id": "T01", "is_insertion": False, "is_clipped": False, "is_pass": "PASS", "mapq": 60, "ref_id": "chr01", "ref_start": 100_100, "ref_end": 100_400, "ins_seq": None}
     rows += [rows[0] | place | {"seg_id": n + k, "read_id": f"m{k}", "mismatch_rate": 90 if k < 6 else 2} for k in range(11)]
     rows.append(rows[0] | place | {"seg_id": n + 40, "read_id": "m40", "ref_start": 99_990, "ref_end": 101_000, "segment_length": 1010, "mismatch_rate": 2})
+    rows += [rows[0] | place | {"seg_id": n + 50 + 3 * g + h, "read_id": f"i{g}{h}", "genome_id": ["T01", "T02", "N01"][g], "haplotype": h, "is_insertion": True, "ref_start": 400_000, "ref_end": 400_000, "segment_length": 400, "ins_seq": "ACGT" * 100} for g in range(3) for h in range(3)]
     alone = place | {"ref_id": "chr02", "ref_start": 200_000, "ref_end": 206_500, "haplotype": 1, "mismatch_rate": 1}
     rows += [rows[0] | alone | {"seg_id": n + 20 + k, "read_id": f"h{k}"} for k in range(5)]
     return rows + [row | {"loaded_at": row["loaded_at"] + dt.timedelta(days=40)} for row in r.sample(rows, 20)]

@@ -4,10 +4,10 @@ import duckdb
 import planted
 import pytest
 
-from strandline.plans import reference, reference_calls, reference_evidence, reference_joins
+from strandline.plans import reference, reference_calls, reference_evidence, reference_files, reference_found, reference_joins, reference_rearranged
 
-QUERIES = reference.QUERIES | reference_joins.QUERIES | reference_calls.QUERIES | reference_evidence.QUERIES
-SQL = reference.SQL | reference_joins.SQL | reference_calls.SQL | reference_evidence.SQL
+QUERIES = reference.QUERIES | reference_joins.QUERIES | reference_calls.QUERIES | reference_evidence.QUERIES | reference_rearranged.QUERIES | reference_found.QUERIES | reference_files.QUERIES
+SQL = reference.SQL | reference_joins.SQL | reference_calls.SQL | reference_evidence.SQL | reference_rearranged.SQL | reference_found.SQL | reference_files.SQL
 
 
 @pytest.fixture(scope="module")
