@@ -60,6 +60,21 @@ def cluster_counts(df: DataFrame, keys: list[str], position: str, gap: int, shar
     return starts.groupBy(*keys, "start_pos").agg(F.max(position).alias("end_pos"), F.sum("_n").alias("n"))
 
 
+def carried(df: DataFrame, keys: list[str], position: str, order: list[str], what: Column, name: str, before: bool, shard: int = SHARD) -> DataFrame:
+    """df with name, the last value of what that isn't null in rows up to this one (with before: ahead of it) within keys, by order, which begins with position.
+
+    Rows are ordered within shards of the axis; what a shard hands on is found from each shard's last value. So no window holds all rows of a key, nor of
+    a chain of near ones. order has to tell rows apart; rows with a null in position are left out.
+    """
+    rows = df.where(F.col(position).isNotNull()).withColumns({"_shard": F.floor(F.col(position) / shard), "_what": what})
+    here = Window.partitionBy(*keys, "_shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow)
+    shards = rows.groupBy(*keys, "_shard").agg(F.max_by("_what", F.when(F.col("_what").isNotNull(), F.struct(*order))).alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    handed = shards.withColumn("_handed", F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+    local = rows.withColumn("_local", F.last("_what", ignorenulls=True).over(here))
+    return local.join(handed, [*keys, "_shard"]).withColumn(name, F.coalesce("_local", "_handed")).drop("_shard", "_what", "_local", "_handed")
+
+
 def value_clusters(df: DataFrame, keys: list[str], value: str, limit: Column, name: str = "level") -> DataFrame:
     """df with a running number of the value's cluster: within keys a new one begins where the value exceeds the one before by more than limit,
     an expression over the column _before. For groups that are small already, such as those of gap_clusters."""

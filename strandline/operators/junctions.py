@@ -68,14 +68,12 @@ def merged_ends(rows: DataFrame, keys: list[str], position: str, nearer_than: in
 def similar_deletions(rows: DataFrame, longest: int = 20_000, length_slack: int = 50) -> DataFrame:
     """(junction_key, group_key): deletions that overlap the one before on their contig and are about as long share the first one's key."""
     dels = rows.where(f"vcf_sv_type = 'DEL' and length <= {longest} and pos_b > pos_a").select("junction_key", "chr_a", "pos_a", "pos_b", "length")
-    # One that overlaps the one before begins within its length, so only such neighbours have to meet in a task.
-    near = islands.gap_clusters(dels, ["chr_a"], "pos_a", longest)
-    order = Window.partitionBy("chr_a", "cluster").orderBy("pos_a", "pos_b", "junction_key")
-    before_end, before_length = F.lag("pos_b").over(order), F.lag("length").over(order)
-    same = (F.col("pos_a") < before_end) & (before_end < F.col("pos_b")) & (F.abs(F.col("length") - before_length) < length_slack)
-    started = near.withColumn("_first", F.when(F.coalesce(same, F.lit(False)), None).otherwise(F.col("junction_key")))
-    running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return started.select("junction_key", F.last("_first", ignorenulls=True).over(running).alias("group_key"))
+    order = ["pos_a", "pos_b", "junction_key"]
+    # Repeated rows begin and end alike; one of them stands for all.
+    near = islands.carried(dels.distinct(), ["chr_a"], "pos_a", order, F.struct("pos_b", "length"), "before", before=True)
+    same = (F.col("pos_a") < F.col("before.pos_b")) & (F.col("before.pos_b") < F.col("pos_b")) & (F.abs(F.col("length") - F.col("before.length")) < length_slack)
+    begins = F.when(~F.coalesce(same, F.lit(False)), F.col("junction_key"))
+    return islands.carried(near, ["chr_a"], "pos_a", order, begins, "group_key", before=False).select("junction_key", "group_key")
 
 
 def insertion_clusters(segments: DataFrame, gap: int = 1000, min_reads: int = 2, min_size: int = 50) -> DataFrame:
@@ -204,10 +202,9 @@ def insertions_near_translocations(rows: DataFrame, within: int = 2000, min_size
 def similar_neighbours(segments: DataFrame, within: int = 2000, share: float = 0.7) -> DataFrame:
     """Passed insertions whose distinct 6-mers make up share of the smaller set with the one before within reach: (seg_id, before, shared)."""
     rows = segments.where("is_insertion and is_pass = 'PASS' and ins_seq is not null").select("ref_id", "ref_end", "seg_id", "ins_seq")
-    near = islands.gap_clusters(rows, ["ref_id"], "ref_end", within - 1)
-    order = Window.partitionBy("ref_id", "cluster").orderBy("ref_end", "seg_id")
     # The sequences are handed on, not their many 6-mers.
-    both = near.withColumn("before", F.lag("seg_id").over(order)).withColumn("seq_before", F.lag("ins_seq").over(order)).where("before is not null")
+    both = islands.carried(rows, ["ref_id"], "ref_end", ["ref_end", "seg_id"], F.struct("seg_id", "ref_end", "ins_seq"), "_b", before=True)
+    both = both.where(F.col("ref_end") - F.col("_b.ref_end") < within).select("seg_id", F.col("_b.seg_id").alias("before"), "ins_seq", F.col("_b.ins_seq").alias("seq_before"))
     both = both.select("seg_id", "before", names.kmers(F.col("ins_seq")).alias("k"), names.kmers(F.col("seq_before")).alias("kb"))
     shared = both.withColumn("shared", F.size(F.array_intersect("k", "kb")))
     return shared.where((F.col("shared") > 0) & (F.col("shared") >= share * F.least(F.size("k"), F.size("kb")))).select("seg_id", "before", "shared")

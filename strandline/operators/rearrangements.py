@@ -167,3 +167,51 @@ def end_names(rows: DataFrame) -> DataFrame:
     sign, at = names.sign(F.col("dir")), F.concat_ws(":", "chr", "pos")
     kept = lambda d: F.when(F.col("dir") == d, at).otherwise("")
     return ends.select("junction_key", "side", F.concat(sign, at).alias("name"), F.concat(complement(sign), at).alias("turned"), kept(1).alias("left_of"), kept(-1).alias("right_of"))
+
+
+def paired_inversions(rows: DataFrame, within: int = 2_000_000, min_size: int = 50, alike: float = 0.95, slack: int = 200) -> DataFrame:
+    """(key_i, key_j, chr, what): for each end of a junction the nearest later end of the other direction on the contig, of a junction of the same genomes, and what the two make.
+
+    Support, summed over a junction's rows, differs by at most half of the first's, but 4 to 10 are always, or at most, allowed. If the first is one row of a haplotype, the other isn't
+    of another one in the same phase set. The second ends of junctions between contigs count too. Nearest is by the smaller difference of first and second ends,
+    of equally near ones the earlier place. A pair of which a member is in another pair of the contig is complex_inv. Of others, with i the one that begins with direction 1:
+    inv_tra between contigs; INV or reciprocal_inv_del if they interlock; dup_inv_segment, Templated_ins_inv or complex_inv by the order of the directions.
+    """
+    by = rows.where("pos_b is not null and dir_a is not null and dir_b is not null and supp is not null").groupBy("junction_key", "chr_a", "pos_a", "dir_a", "chr_b", "pos_b", "dir_b").agg(
+        F.sum("supp").alias("supp"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("genome_id")), ",").alias("genomes"),
+        F.min(F.coalesce("hp1", F.lit(0))).alias("hp1"), F.min(F.coalesce("hp2", F.lit(0))).alias("hp2"), F.min("phaseset1").alias("ps1"), F.min("phaseset2").alias("ps2"),
+    )
+    inter = F.col("chr_a") != F.col("chr_b")
+    side = lambda e, i: F.struct(F.col(f"chr_{e}").alias("chr"), F.col(f"pos_{e}").alias("pos"), F.col(f"dir_{e}").alias("dir"), F.col(f"hp{i}").alias("hp"), F.col(f"ps{i}").alias("ps"))
+    # Distances between contigs are taken at the first end only.
+    ends = cut(by.select("junction_key", "genomes", "supp", "n", "chr_a", "pos_a", "dir_a", "chr_b", "pos_b", "dir_b", F.when(inter, F.col("pos_a")).otherwise(F.col("pos_b")).alias("far"), F.inline(F.when(inter, F.array(side("a", 1), side("b", 2))).otherwise(F.array(side("a", 1))))))
+    key = ["genomes", "chr"]
+    named = lambda s: ends.select(*key, *[F.col(c).alias(f"{s}_{c}") for c in ends.columns if c not in key])
+    met = ranges.near_pairs(named("i"), named("j"), key, "i_pos", "j_pos", within)
+    later = (F.col("j_pos") > F.col("i_pos")) | ((F.col("j_pos") == F.col("i_pos")) & (F.col("j_dir") < F.col("i_dir")))
+    balanced = F.abs(F.col("i_supp") - F.col("j_supp")) <= F.least(F.greatest(0.5 * F.col("i_supp"), F.lit(4.0)), F.lit(10.0))
+    apart = (F.col("i_n") == 1) & (F.col("i_hp") != 0) & F.coalesce(F.col("i_ps") == F.col("j_ps"), F.lit(False)) & (F.col("j_hp") != 0) & (F.col("j_hp") != F.col("i_hp"))
+    fits = met.where((F.col("i_dir") == -F.col("j_dir")) & (F.col("i_junction_key") != F.col("j_junction_key")) & later & balanced & ~apart)
+    distance = F.least(F.abs(F.col("i_pos_a") - F.col("j_pos_a")), F.abs(F.col("i_far") - F.col("j_far")))
+    mine = ["i_junction_key", "i_pos", "i_dir", "i_chr_a", "i_pos_a", "i_dir_a", "i_chr_b", "i_pos_b", "i_dir_b"]
+    other = [f"j_{c}" for c in ("junction_key", "chr_a", "pos_a", "dir_a", "chr_b", "pos_b", "dir_b")]
+    best = fits.groupBy(*key, *mine).agg(F.min(F.struct(distance.alias("distance"), "j_pos", *other)).alias("b"))
+    pairs = cut(best.select(*key, *mine, *[F.col(f"b.{c}").alias(c) for c in other]))
+    members = pairs.select(*key, F.least("i_junction_key", "j_junction_key").alias("x"), F.greatest("i_junction_key", "j_junction_key").alias("y")).distinct().select(*key, F.explode(F.array("x", "y")).alias("member"))
+    busy = members.groupBy(*key, "member").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(*key, "member")
+    for s in "ij":
+        pairs = pairs.join(busy.select(*key, F.col("member").alias(f"{s}_junction_key"), F.lit(True).alias(f"{s}_busy")), [*key, f"{s}_junction_key"], "left")
+
+    first = F.col("i_dir_a") == 1
+    pick = lambda c, one: F.when(first, F.col(f"i_{c}" if one else f"j_{c}")).otherwise(F.col(f"j_{c}" if one else f"i_{c}"))
+    a1, b1, a2, b2 = pick("pos_a", True), pick("pos_b", True), pick("pos_a", False), pick("pos_b", False)
+    interlock = (a1 - min_size < a2) & (a2 < b1) & (b1 < b2 + min_size)
+    len1, len2 = b1 - a2, b2 - a1
+    turns = F.transform(F.array_sort(F.array(*[F.struct(p.alias("p"), d.alias("d")) for p, d in ((a1, pick("dir_a", True)), (b1, pick("dir_b", True)), (a2, pick("dir_a", False)), (b2, pick("dir_b", False)))])), lambda t: t["d"])
+    text = F.array_join(F.transform(turns, lambda t: F.when(t > 0, "+").otherwise("-")), "")
+    what = (
+        F.when(F.coalesce("i_busy", F.lit(False)) | F.coalesce("j_busy", F.lit(False)), "complex_inv").when((F.col("i_chr_a") != F.col("i_chr_b")) | (F.col("j_chr_a") != F.col("j_chr_b")), "inv_tra")
+        .when(interlock & (len1 > alike * len2) & (F.abs(len2 - len1) < slack), "INV").when(interlock, "reciprocal_inv_del").when((a2 - min_size < a1) & (a1 < b2 + min_size), "dup_inv_segment")
+        .when(text.isin("--++", "-++-"), "dup_inv_segment").when(text == "+--+", "Templated_ins_inv").otherwise("complex_inv")
+    )
+    return pairs.select(F.col("i_junction_key").alias("key_i"), F.col("j_junction_key").alias("key_j"), "chr", what.alias("what")).distinct()

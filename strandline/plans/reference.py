@@ -248,7 +248,7 @@ def merged_breakpoints(spark: SparkSession, d: str) -> DataFrame:
     return junctions.merged_ends(ends, ["dir", "chr"], "pos")
 
 
-@query(f"""with {JUN}, s as (select junction_key, chr_a, pos_a, pos_b, length from jun where vcf_sv_type = 'DEL' and length <= 20000 and pos_b > pos_a),
+@query(f"""with {JUN}, s as (select distinct junction_key, chr_a, pos_a, pos_b, length from jun where vcf_sv_type = 'DEL' and length <= 20000 and pos_b > pos_a),
 o as (select *, coalesce(pos_a < lag(pos_b) over w and lag(pos_b) over w < pos_b and abs(length - lag(length) over w) < 50, false) same from s window w as (partition by chr_a order by pos_a, pos_b, junction_key))
 select junction_key, last_value(case when not same then junction_key end ignore nulls) over (partition by chr_a order by pos_a, pos_b, junction_key rows unbounded preceding) group_key from o""")
 def similar_deletions(spark: SparkSession, d: str) -> DataFrame:

@@ -105,6 +105,26 @@ def component_orientations(spark: SparkSession, d: str) -> DataFrame:
     return rearrangements.component_orientations(edges, graph.components(edges, "src", "dst"), _jun(spark, d))
 
 
+@query(f"""with {JUN}, k as (select junction_key, chr_a, pos_a, dir_a, chr_b, pos_b, dir_b, sum(supp)::bigint supp, count(*) n, string_agg(distinct genome_id, ',' order by genome_id) genomes, min(coalesce(hp1, 0)) hp1, min(coalesce(hp2, 0)) hp2,
+    min(phaseset1) ps1, min(phaseset2) ps2 from jun where pos_b is not null and dir_a is not null and dir_b is not null and supp is not null group by all),
+v as (select *, case when chr_a <> chr_b then pos_a else pos_b end far, chr_a chr, pos_a pos, dir_a dir, hp1 hp, ps1 ps from k union all select *, pos_a, chr_b, pos_b, dir_b, hp2, ps2 from k where chr_a <> chr_b),
+f as (select i.genomes, i.chr, i, j, least(abs(i.pos_a - j.pos_a), abs(i.far - j.far)) w from v i join v j on i.genomes = j.genomes and i.chr = j.chr and i.dir = -j.dir and i.junction_key <> j.junction_key
+  and abs(i.pos - j.pos) <= 2000000 and (j.pos > i.pos or j.pos = i.pos and j.dir < i.dir) and abs(i.supp - j.supp) <= least(greatest(0.5 * i.supp, 4), 10)
+  and not (i.n = 1 and i.hp <> 0 and coalesce(i.ps = j.ps, false) and j.hp <> 0 and j.hp <> i.hp)),
+p as (select * from f qualify row_number() over (partition by genomes, chr, i.junction_key, i.pos, i.dir order by w, j.pos, j.junction_key) = 1),
+u as (select distinct genomes, chr, least(i.junction_key, j.junction_key) x, greatest(i.junction_key, j.junction_key) y from p),
+busy as (select genomes, chr, m from (select genomes, chr, unnest([x, y]) m from u) group by all having count(*) > 1),
+q as (select *, case when i.dir_a = 1 then i else j end a, case when i.dir_a = 1 then j else i end b, (genomes, chr, i.junction_key) in (select (genomes, chr, m) from busy) or (genomes, chr, j.junction_key) in (select (genomes, chr, m) from busy) many from p),
+r as (select *, a.pos_a - 50 < b.pos_a and b.pos_a < a.pos_b and a.pos_b < b.pos_b + 50 lock, array_to_string(list_transform(list_sort([struct_pack(p := a.pos_a, d := a.dir_a), struct_pack(p := a.pos_b, d := a.dir_b), struct_pack(p := b.pos_a, d := b.dir_a),
+  struct_pack(p := b.pos_b, d := b.dir_b)]), lambda t: case when t.d > 0 then '+' else '-' end), '') t from q)
+select distinct i.junction_key key_i, j.junction_key key_j, chr, case when many then 'complex_inv' when a.chr_a <> a.chr_b or b.chr_a <> b.chr_b then 'inv_tra'
+  when lock and a.pos_b - b.pos_a > 0.95 * (b.pos_b - a.pos_a) and abs((b.pos_b - a.pos_a) - (a.pos_b - b.pos_a)) < 200 then 'INV' when lock then 'reciprocal_inv_del' when b.pos_a - 50 < a.pos_a and a.pos_a < b.pos_b + 50 then 'dup_inv_segment'
+  when t in ('--++', '-++-') then 'dup_inv_segment' when t = '+--+' then 'Templated_ins_inv' else 'complex_inv' end what from r""")
+def paired_inversions(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions of the same genomes whose ends face each other, and what each two make."""
+    return rearrangements.paired_inversions(_jun(spark, d))
+
+
 # The graph of junctions that the connections of reads make: its nodes are the places where connections end.
 
 
