@@ -215,3 +215,55 @@ def paired_inversions(rows: DataFrame, within: int = 2_000_000, min_size: int =
         .when(text.isin("--++", "-++-"), "dup_inv_segment").when(text == "+--+", "Templated_ins_inv").otherwise("complex_inv")
     )
     return pairs.select(F.col("i_junction_key").alias("key_i"), F.col("j_junction_key").alias("key_j"), "chr", what.alias("what")).distinct()
+
+
+# The graph of genomic segments.
+
+
+def segment_ends(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(genome_id, junction_key, chr, dir, pos, node) of the ends of junctions, node being the genomic segment there (neighbours) as contig:start:end."""
+    found = neighbours(rows, contigs)
+    return cut(found.select("genome_id", "junction_key", "chr", "dir", "pos", F.concat_ws(":", "chr", F.least("pos", "other"), F.greatest("pos", "other")).alias("node")))
+
+
+def segment_edges(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """Junctions as edges between the segments at their two ends: (src, dst, genome_id, junction_key, supp)."""
+    own = rows.where("dir_a is not null and dir_b is not null").groupBy("genome_id", "junction_key", *[f"{c}_{e}" for e in "ab" for c in ("chr", "dir", "pos")]).agg(F.coalesce(F.sum("supp"), F.lit(0)).alias("supp"))
+    for e, n in (("a", "src"), ("b", "dst")):
+        own = own.join(ends.select("genome_id", "junction_key", *[F.col(c).alias(f"{c}_{e}") for c in ("chr", "dir", "pos")], F.col("node").alias(n)), ["genome_id", "junction_key", *[f"{c}_{e}" for c in ("chr", "dir", "pos")]])
+    return own.select("src", "dst", "genome_id", "junction_key", "supp")
+
+
+def segment_links(ends: DataFrame, adjacent: DataFrame, shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(src, dst) links of segments that no junction makes: those that end and begin at a reference adjacency (genome_id, chr, plus_pos, minus_pos), those of junctions
+    that share an end in balance (genome_id, chr, pos, key_x, key_y), and those of junctions of a group (junction_key, gr_id), each linked with the group's smallest."""
+    at = lambda d, n, p: ends.where(F.col("dir") == d).select("genome_id", "chr", F.col("pos").alias(p), F.col("node").alias(n)).distinct()
+    one = adjacent.join(at(1, "src", "plus_pos"), ["genome_id", "chr", "plus_pos"]).join(at(-1, "dst", "minus_pos"), ["genome_id", "chr", "minus_pos"]).select("src", "dst")
+    of = lambda k, n: ends.select("genome_id", "chr", "pos", F.col("junction_key").alias(k), F.col("node").alias(n)).distinct()
+    two = shared.join(of("key_x", "src"), ["genome_id", "chr", "pos", "key_x"]).join(of("key_y", "dst"), ["genome_id", "chr", "pos", "key_y"]).select("src", "dst")
+    held = groups.where("gr_id is not null").distinct().join(ends.select("junction_key", F.col("node").alias("src")).distinct(), "junction_key")
+    three = held.join(held.groupBy("gr_id").agg(F.min("src").alias("dst")), "gr_id").select("src", "dst")
+    return one.unionByName(two).unionByName(three).distinct()
+
+
+def component_sizes(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(component, n_nodes, n_junctions) of components with more than one junction."""
+    of = edges.join(parts.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.count_distinct("junction_key").alias("n_junctions")).where("n_junctions > 1")
+    return parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes")).join(of, "component")
+
+
+def cluster_table(edges: DataFrame, parts: DataFrame, rows: DataFrame) -> DataFrame:
+    """A row per junction of a component with more than one, in the columns of a cluster file: supports and genotypes by genome, greatest share, kinds, direction, contigs and phase sets of heterozygous ones."""
+    of = edges.join(parts.withColumnRenamed("node", "src"), "src").select("junction_key", "component").distinct()
+    several = of.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component")
+    by = rows.groupBy("junction_key", "genome_id").agg(F.coalesce(F.sum("supp"), F.lit(0)).alias("supp"), F.max("genotype").alias("genotype"), F.max("vaf").alias("vaf"), *[F.max(c).alias(c) for c in ("vcf_sv_type", "sv_type", "chr_a", "chr_b", "dir_a", "dir_b", "phaseset1", "phaseset2")])
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("genome_id", F.coalesce(F.col(c).cast("string"), F.lit("")).alias("x")))), lambda t: t["x"]), ",")
+    all_of = by.groupBy("junction_key").agg(
+        listed("supp").alias("read_support"), listed("genotype").alias("genotypes"), F.round(F.max("vaf"), 6).alias("vaf"), F.array_join(F.array_sort(F.collect_set("genome_id")), ",").alias("genome_ids"), F.max("genotype").alias("_g"),
+        *[F.max(c).alias(c) for c in ("vcf_sv_type", "sv_type", "chr_a", "chr_b", "dir_a", "dir_b", "phaseset1", "phaseset2")],
+    )
+    direction = F.when(F.col("dir_a") == F.col("dir_b"), "HH/TT").when(F.col("dir_a") == 1, "HT").otherwise("TH")
+    phase = F.when(F.col("_g") == "het", F.concat_ws(",", "phaseset1", "phaseset2")).otherwise("")
+    return of.join(several, "component", "left_semi").join(all_of, "junction_key").select(
+        "component", "junction_key", "read_support", "vaf", "genotypes", "vcf_sv_type", "sv_type", direction.alias("direction"), F.when(F.col("chr_a") == F.col("chr_b"), "intra").otherwise("inter").alias("contigs"), phase.alias("phaseblock"), "genome_ids"
+    )

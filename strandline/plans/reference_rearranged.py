@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import cigar, evidence, graph, rearrangements, segments
+from strandline.lineage import cut
+from strandline.operators import calls, cigar, evidence, graph, rearrangements, segments
 from strandline.plans.reference import JUN, SEG, _islands, _jun, _seg
 from strandline.plans.reference_evidence import _DET
 from strandline.plans.reference_joins import _REACH, _edges
@@ -39,13 +40,16 @@ _ENDS = """e as (select genome_id, junction_key, supp, supp_read_ids, chr_a chr,
   union all select genome_id, junction_key, supp, supp_read_ids, chr_b, pos_b, dir_b, hp2, phaseset2, -dir_b * pos_b from jun where dir_b is not null)"""
 
 
-@query(f"""with {JUN}, {_ENDS}, m as (select l.*, -l.dir * r.pos y, r.hp rh, r.ps rp, r.supp rs, r.supp_read_ids rr from e l join e r on l.genome_id = r.genome_id and l.chr = r.chr and r.dir = -l.dir and -l.dir * r.pos between l.x + 1 and l.x + 2000000),
+_NEAR = f"""{_ENDS}, m as (select l.*, -l.dir * r.pos y, r.hp rh, r.ps rp, r.supp rs, r.supp_read_ids rr from e l join e r on l.genome_id = r.genome_id and l.chr = r.chr and r.dir = -l.dir and -l.dir * r.pos between l.x + 1 and l.x + 2000000),
 one as (select genome_id, junction_key, chr, dir, pos, min(y) y1 from m where list_has_any(supp_read_ids, rr) group by all),
 two as (select genome_id, junction_key, chr, dir, pos, min(y) y2 from m where not coalesce(ps = rp and hp > 0 and rh > 0 and hp <> rh, false) and abs(supp - rs) < least(supp, rs) group by all),
-o as (select distinct genome_id, junction_key, chr, dir, pos, x from e)
-select genome_id, junction_key, chr, dir, pos, -dir * coalesce(y1, y2, greatest(case when dir = -1 then least(x + 2000000, length - 10000) else least(x + 2000000, -10000) end, x)) other,
-  (case when y1 is not null then 1 when y2 is not null then 2 else 3 end)::int as level
-from o left join one using (genome_id, junction_key, chr, dir, pos) left join two using (genome_id, junction_key, chr, dir, pos) join contigs on ref_id = chr""")
+o as (select distinct genome_id, junction_key, chr, dir, pos, x from e),
+nbr as (select genome_id, junction_key, chr, dir, pos, -dir * coalesce(y1, y2, greatest(case when dir = -1 then least(x + 2000000, length - 10000) else least(x + 2000000, -10000) end, x)) other,
+    (case when y1 is not null then 1 when y2 is not null then 2 else 3 end)::int as level
+  from o left join one using (genome_id, junction_key, chr, dir, pos) left join two using (genome_id, junction_key, chr, dir, pos) join contigs on ref_id = chr)"""
+
+
+@query(f"with {JUN}, {_NEAR} select * from nbr")
 def neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Where the genomic segment at each end of a junction ends, for ends of either direction."""
     return rearrangements.neighbours(_jun(spark, d), load(spark, d, "contigs"))
@@ -154,6 +158,61 @@ def end_names(spark: SparkSession, d: str) -> DataFrame:
     return rearrangements.end_names(_jun(spark, d))
 
 
+# The graph whose nodes are genomic segments, with the links of reference adjacencies, shared ends and groups.
+
+_SEGMENTS = f"""{JUN}, {_NEAR}, se as (select genome_id, junction_key, chr, dir, pos, chr || ':' || least(pos, other) || ':' || greatest(pos, other) node from nbr),
+sx as (select genome_id, junction_key, chr_a, dir_a, pos_a, chr_b, dir_b, pos_b, coalesce(sum(supp), 0)::bigint supp from jun where dir_a is not null and dir_b is not null group by all),
+edges as (select a.node src, b.node dst, sx.genome_id, sx.junction_key, sx.supp from sx join se a on a.genome_id = sx.genome_id and a.junction_key = sx.junction_key and (a.chr, a.dir, a.pos) = (chr_a, dir_a, pos_a)
+  join se b on b.genome_id = sx.genome_id and b.junction_key = sx.junction_key and (b.chr, b.dir, b.pos) = (chr_b, dir_b, pos_b)),
+ap as (select genome_id, chr, pos, dir, sum(supp)::bigint s from e where supp is not null group by all),
+aq as (select n.genome_id, n.chr, n.pos, n.s, (select max((q.pos, q.s)) from ap q where q.genome_id = n.genome_id and q.chr = n.chr and q.dir = 1 and q.pos < n.pos) q from ap n where n.dir = -1),
+adj as (select genome_id, chr, q[1] plus_pos, pos minus_pos from aq where abs(q[2] - s) <= least(q[2], s) and pos - q[1] <= 1000000),
+sh as (select *, lead(struct_pack(k := junction_key, s := supp)) over (partition by genome_id, chr, pos, dir order by junction_key, supp) y from (select distinct genome_id, chr, pos, dir, junction_key, supp from e where supp is not null)),
+gr as (select distinct junction_key, gr_id from jun where gr_id is not null), gn as (select distinct gr_id, node from gr join se using (junction_key)),
+links as (select p.node src, q.node dst from adj join se p on p.genome_id = adj.genome_id and p.chr = adj.chr and p.dir = 1 and p.pos = plus_pos join se q on q.genome_id = adj.genome_id and q.chr = adj.chr and q.dir = -1 and q.pos = minus_pos
+  union select p.node, q.node from sh join se p on p.genome_id = sh.genome_id and p.chr = sh.chr and p.pos = sh.pos and p.junction_key = sh.junction_key join se q on q.genome_id = sh.genome_id and q.chr = sh.chr and q.pos = sh.pos and q.junction_key = sh.y.k
+    where abs(sh.supp - sh.y.s) < least(sh.supp, sh.y.s)
+  union select node, min(node) over (partition by gr_id) from gn),
+sl as (select src a, dst b from edges union select dst, src from edges union select src, dst from links union select dst, src from links),
+reach(a, b) as (select a, b from sl union select reach.a, sl.b from reach join sl on reach.b = sl.a), comp as (select a node, least(a, min(b)) component from reach group by a)"""
+
+
+def _segment_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    j = _jun(spark, d)
+    ends = rearrangements.segment_ends(j, load(spark, d, "contigs"))
+    edges = cut(rearrangements.segment_edges(j, ends))
+    links = rearrangements.segment_links(ends, calls.reference_adjacent(j), calls.shared_ends(j), j.select("junction_key", "gr_id"))
+    return j, edges, graph.components(edges.select("src", "dst").unionByName(links), "src", "dst")
+
+
+@query(f"with {_SEGMENTS.split('adj as')[0].rsplit('ap as', 1)[0].rstrip().rstrip(',')} select src, dst, genome_id, count(*) n, sum(supp)::bigint support from edges group by all")
+def segment_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Edges between genomic segments, with their junctions and support in each genome."""
+    j = _jun(spark, d)
+    edges = rearrangements.segment_edges(j, rearrangements.segment_ends(j, load(spark, d, "contigs")))
+    return edges.groupBy("src", "dst", "genome_id").agg(F.count(F.lit(1)).alias("n"), F.sum("supp").alias("support"))
+
+
+@query(f"""with recursive {_SEGMENTS}, k as (select component, count(distinct junction_key) n_junctions from edges join comp on node = src group by all having count(distinct junction_key) > 1)
+select component, count(*) n_nodes, n_junctions from comp join k using (component) group by all""")
+def segment_components(spark: SparkSession, d: str) -> DataFrame:
+    """Components of genomic segments with more than one junction."""
+    _, edges, parts = _segment_graph(spark, d)
+    return rearrangements.component_sizes(edges, parts)
+
+
+@query(f"""with recursive {_SEGMENTS}, k as (select distinct junction_key, component from edges join comp on node = src), big as (select component from k group by all having count(*) > 1),
+g as (select junction_key, genome_id, coalesce(sum(supp), 0)::bigint s, max(genotype) g, max(vaf) v, max(vcf_sv_type) t, max(sv_type) u, max(chr_a) ca, max(chr_b) cb, max(dir_a) da, max(dir_b) db, max(phaseset1) p1, max(phaseset2) p2 from jun group by all),
+a as (select junction_key, string_agg(s::varchar, ',' order by genome_id) read_support, round(max(v), 6) vaf, string_agg(coalesce(g, ''), ',' order by genome_id) genotypes, string_agg(genome_id, ',' order by genome_id) genome_ids, max(g) gt, max(t) vcf_sv_type, max(u) sv_type,
+  max(ca) ca, max(cb) cb, max(da) da, max(db) db, max(p1) p1, max(p2) p2 from g group by all)
+select component, junction_key, read_support, vaf, genotypes, vcf_sv_type, sv_type, case when da = db then 'HH/TT' when da = 1 then 'HT' else 'TH' end direction, case when ca = cb then 'intra' else 'inter' end contigs,
+  case when gt = 'het' then concat_ws(',', p1, p2) else '' end phaseblock, genome_ids from k join big using (component) join a using (junction_key)""")
+def cluster_table(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions of components of genomic segments, in the columns of a cluster file."""
+    j, edges, parts = _segment_graph(spark, d)
+    return rearrangements.cluster_table(edges, parts, j)
+
+
 # Alignments written as CIGAR from the segments, and cut into segments again.
 
 

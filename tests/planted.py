@@ -14,7 +14,7 @@ SEGMENTS = {
 }
 JUNCTIONS = {
     "junction_key": S, "bp1_id": I64, "bp2_id": I64, "genome_id": S, "hp1": I32, "hp2": I32, "supp": I64, "supp_read_ids": pa.list_(S), "length": I64, "is_pass": S, "prec": I32, "is_dup": B, "sv_type": S,
-    "vcf_sv_type": S, "vcf_id": S, "dr": I64, "dv": I64, "vaf": D, "hvaf": D, "vcf_qual": D, "phaseset1": I64, "phaseset2": I64, "cluster_id": S, "vaf_pass": S, "mut_type": S,
+    "vcf_sv_type": S, "vcf_id": S, "dr": I64, "dv": I64, "vaf": D, "hvaf": D, "vcf_qual": D, "phaseset1": I64, "phaseset2": I64, "cluster_id": S, "vaf_pass": S, "mut_type": S, "genotype": S,
     "gr_id": S, "tra_pos": S, "inv_bounds": pa.list_(I64), "vntr": pa.struct([("vntr_start", I64), ("vntr_end", I64)]), "is_single": B,
 }
 PANEL = {"panel_id": I64, "chrom": S, "pos": I64, "chr2": S, "stop_pos": I64, "svtype": S, "svlen": I64, "cipos": pa.list_(I32), "ciend": pa.list_(I32), "carriers": I32}
@@ -62,7 +62,7 @@ def junctions(r, n=400):
         rows.append({
             "junction_key": maybe(r, key, 0.02), "bp1_id": i, "bp2_id": i, "genome_id": maybe(r, r.choice(["T01", "T02", "N01"]), 0.02), "hp1": maybe(r, r.randrange(3)), "hp2": maybe(r, r.randrange(3)), "supp": maybe(r, r.choice([0, 1, 3, 5, 30])),
             "supp_read_ids": maybe(r, [f"r{r.randrange(9)}" for _ in range(r.randrange(4))]), "length": maybe(r, size), "is_pass": r.choice(["PASS"] * 5 + ["FAIL", "FAIL_MERGED_HP"]), "prec": maybe(r, r.randrange(2)), "is_dup": what == "DUP",
-            "sv_type": maybe(r, "tandem_duplication" if what == "DUP" else what), "vcf_sv_type": maybe(r, what), "vcf_id": maybe(r, f"sv{i}"), "dr": maybe(r, r.randrange(20)), "dv": 1, "vaf": r.choice([0.2, 0.4]), "hvaf": maybe(r, 0.25, 0.5), "vcf_qual": maybe(r, r.choice([55.5, 20.0])), "vaf_pass": r.choice(["PASS", "PASS", "FAIL"]), "mut_type": maybe(r, r.choice(["somatic", "germline"])),
+            "sv_type": maybe(r, "tandem_duplication" if what == "DUP" else what), "vcf_sv_type": maybe(r, what), "vcf_id": maybe(r, f"sv{i}"), "dr": maybe(r, r.randrange(20)), "dv": 1, "vaf": r.choice([0.2, 0.4]), "hvaf": maybe(r, 0.25, 0.5), "vcf_qual": maybe(r, r.choice([55.5, 20.0])), "vaf_pass": r.choice(["PASS", "PASS", "FAIL"]), "mut_type": maybe(r, r.choice(["somatic", "germline"])), "genotype": maybe(r, r.choice(["het", "hom"])),
             "phaseset1": maybe(r, max(0, a - r.randrange(5000)), 0.4), "phaseset2": None, "cluster_id": maybe(r, "c", 0.5), "vntr": maybe(r, {"vntr_start": a // 4000 * 4000, "vntr_end": a // 4000 * 4000 + 160}, 0.3), "is_single": r.random() < 0.05, "gr_id": maybe(r, f"g{r.randrange(40)}", 0.7), "tra_pos": maybe(r, "chr01:5-9", 0.9), "inv_bounds": [a, b] if what == "INV" and r.random() < 0.7 else None,
         })
     own = {(x["junction_key"], x["genome_id"], x["hp1"], x["hp2"]): x for x in rows}
