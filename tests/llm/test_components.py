@@ -50,3 +50,4 @@ def test_nearby_links_give_the_groups_of_all_near_pairs(spark, seed):
     df = spark.createDataFrame([(*x, 1, "y") for x in rows], "record string, axis string, position long, cell int, first string")
     got = c.groups(c.nearby_links(df, "record", "axis", "position", 100), "a", "b")
     assert sorted(map(tuple, got.collect())) == brute(near)
+    assert sorted(map(tuple, c.nearby_groups(df, "record", "axis", "position", 100).collect())) == brute(near)
