@@ -283,3 +283,42 @@ def as_junctions(rows: DataFrame) -> DataFrame:
     by = every.groupBy(*[c for c in every.columns if c != "read_id"]).agg(F.count_distinct("read_id").alias("supp"), F.array_sort(F.collect_set("read_id")).alias("supp_read_ids"))
     empty = {"sv_type": "string", "phaseset1": "long", "phaseset2": "long", "vntr": "struct<vntr_start:bigint,vntr_end:bigint>", "gr_id": "string"}
     return by.withColumns({c: F.lit(None).cast(k) for c, k in empty.items()} | {"is_pass": F.lit("PASS"), "is_single": F.lit(False), "is_dup": F.col("vcf_sv_type") == "DUP", "size": F.when(F.col("vcf_sv_type") == "INS", F.col("length"))})
+
+
+def lone_ends(conns: DataFrame, contigs: DataFrame, min_support: int = 3, share: float = 0.4, near: int = 100, flank: int = 10_000, one_sided: float = 0.67, most_partners: int = 7) -> DataFrame:
+    """(chr, dir, position, n, n_passed, supp) of places whose connections lead to no other place, mostly to none, or to more than most_partners, and that have enough support.
+
+    A partner is a place that two or more connections lead to. Enough are min_support ends, of which min_support and share of all passed, and min_support distinct reads of one
+    genome that passed (supp). Places nearer than near to one of a detected junction, or to flank from either end of the contig, are left out.
+    """
+    spots = cut(places(conns))
+    joined = conns.groupBy(*KEY).agg(F.count(F.lit(1)).alias("m"))
+    sides = joined.select(F.inline(F.array(F.struct(F.col("node_a").alias("node"), F.col("node_b").alias("to"), "m"), F.struct(F.col("node_b").alias("node"), F.col("node_a").alias("to"), "m"))))
+    sides = sides.join(spots.select(F.col("node").alias("to"), F.lit(True).alias("known")), "to", "left")
+    paired = F.col("known") & (F.col("m") >= 2)
+    by = sides.groupBy("node").agg(F.sum("m").alias("all"), F.coalesce(F.sum(F.when(paired, F.col("m"))), F.lit(0)).alias("paired"), F.count_if(paired).alias("partners"))
+    alone = (F.col("partners") == 0) | (F.col("all") - F.col("paired") > one_sided * F.col("all")) | (F.col("partners") > most_partners)
+    end = lambda e: F.struct(F.col(f"node_{e}").alias("node"), F.col(f"passed_{e}").alias("ok"), "genome_id", "read_id")
+    reads = conns.select(F.inline(F.array(end("a"), end("b")))).where("ok").groupBy("node", "genome_id").agg(F.count_distinct("read_id").alias("r")).groupBy("node").agg(F.max("r").alias("supp"))
+    enough = (F.col("n") >= min_support) & (F.col("n_passed") >= F.greatest(F.lit(float(min_support)), share * F.col("n"))) & (F.col("supp") >= min_support)
+    own = spots.join(by.where(alone).select("node"), "node", "left_semi").join(reads, "node").where(enough)
+    used = detected(conns, spots).select(F.explode(F.array(*KEY)).alias("node")).distinct().join(spots, "node")
+    taken = used.select("chr", F.col("position").alias("at")).unionByName(contigs.select(F.col("ref_id").alias("chr"), F.explode(F.array(F.lit(flank).cast("long"), F.col("length") - flank)).alias("at")))
+    taken = taken.select("chr", (F.col("at") - (near - 1)).alias("low"), (F.col("at") + (near - 1)).alias("high")).distinct()
+    return ranges.points_in_intervals(own.select("chr", "dir", "position", "n", "n_passed", "supp"), taken, ["chr"], "position", "low", "high", 1000, "left_anti")
+
+
+def repeat_labels(rows: DataFrame, segs: DataFrame, pad: int = 25, most: int = 3) -> DataFrame:
+    """(chr, low, high, n_junctions, n_reads, label) of the padded repeats that junctions lie in by their first end.
+
+    n_reads counts their distinct supporting reads with a split segment that isn't vntr_only. FAIL_VNTR with fewer than two such reads, FAIL_COMPLEX_VNTR with more than most
+    different junctions, MERGE with two or more, else PASS.
+    """
+    spots = rows.where("vntr is not null").select(F.col("chr_a").alias("chr"), (F.col("vntr.vntr_start") - pad).alias("low"), (F.col("vntr.vntr_end") + pad).alias("high")).distinct()
+    met = cut(ranges.points_in_intervals(rows.select(F.col("chr_a").alias("chr"), "pos_a", "junction_key", "supp_read_ids"), spots, ["chr"], "pos_a", "low", "high", 1000))
+    key = ["chr", "low", "high"]
+    good = segs.where(segments.IS_SPLIT).where("is_pass is distinct from 'vntr_only'").select(F.col("read_id").alias("read")).distinct()
+    reads = met.select(*key, F.explode("supp_read_ids").alias("read")).distinct().join(good, "read", "left_semi").groupBy(*key).agg(F.count(F.lit(1)).alias("n_reads"))
+    by = met.groupBy(*key).agg(F.count_distinct("junction_key").alias("n_junctions")).join(reads, key, "left").fillna(0, ["n_reads"])
+    label = F.when(F.col("n_reads") < 2, "FAIL_VNTR").when(F.col("n_junctions") > most, "FAIL_COMPLEX_VNTR").when(F.col("n_junctions") > 1, "MERGE").otherwise("PASS")
+    return by.select(*key, "n_junctions", "n_reads", label.alias("label"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import evidence, segments
-from strandline.plans.reference import BACKGROUND, CONTROL, MASK, SEG, _islands, _seg, collapsed_regions
+from strandline.plans.reference import BACKGROUND, CONTROL, JUN, MASK, SEG, _islands, _jun, _seg, collapsed_regions
 from strandline.plans.reference_joins import _PAF, _alignments
+from strandline.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -216,3 +217,24 @@ select *, rank() over (order by n desc) number from f where n >= 2""")
 def named_fragments(spark: SparkSession, d: str) -> DataFrame:
     """Fragments between standard places that occur at least twice, numbered by how often."""
     return evidence.named_fragments(_alignments(spark, d), 2)
+
+
+@query(f"""with {_DET}, jm as (select node_a, node_b, count(*) m from conn group by all), js as (select node_a node, node_b other, m from jm union all select node_b, node_a, m from jm),
+jt as (select node, sum(m) n, coalesce(sum(m) filter (m >= 2 and other in (select node from spot)), 0) p, count(*) filter (m >= 2 and other in (select node from spot)) k from js group by all),
+jr as (select node, max(r) supp from (select node, genome_id, count(distinct read_id) r from (select node_a node, genome_id, read_id, a.passed ok from conn union all select node_b, genome_id, read_id, b.passed from conn) where ok group by all) group by all),
+tk as (select chr, position tp from spot where node in (select node_a from det union select node_b from det) union select ref_id, unnest([10000, length - 10000]) from contigs)
+select chr, dir, position, spot.n, n_passed, supp from spot join jt using (node) join jr using (node) where (k = 0 or jt.n - p > 0.67 * jt.n or k > 7) and spot.n >= 3 and n_passed >= greatest(3, 0.4 * spot.n) and supp >= 3
+  and not exists (select 1 from tk where tk.chr = spot.chr and abs(tp - position) < 100)""")
+def lone_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Places where reads end without another one to lead to."""
+    return evidence.lone_ends(evidence.connections(_seg(spark, d)), load(spark, d, "contigs"))
+
+
+@query(f"""with {SEG}, {JUN.strip()}, rp as (select distinct chr_a chr, vntr.vntr_start - 25 low, vntr.vntr_end + 25 high from jun where vntr is not null),
+rm as (select rp.*, junction_key, supp_read_ids from rp join jun on chr_a = chr and pos_a between low and high), rr as (select distinct chr, low, high, unnest(supp_read_ids) read from rm),
+rc as (select chr, low, high, count(*) n_reads from rr where read in (select read_id from split where is_pass is distinct from 'vntr_only') group by all),
+rk as (select chr, low, high, count(distinct junction_key) n_junctions from rm group by all)
+select chr, low, high, n_junctions, coalesce(n_reads, 0) n_reads, case when coalesce(n_reads, 0) < 2 then 'FAIL_VNTR' when n_junctions > 3 then 'FAIL_COMPLEX_VNTR' when n_junctions > 1 then 'MERGE' else 'PASS' end "label" from rk left join rc using (chr, low, high)""")
+def repeat_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Repeats with what becomes of the junctions in them."""
+    return evidence.repeat_labels(_jun(spark, d), _seg(spark, d))
