@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.lineage import cut
+from strandline.operators import ranges
 from strandline.operators.skew import join_per_key
 
 #: Width of a shard of the axis, which bounds the distinct positions that one task orders.
@@ -92,25 +91,24 @@ def value_clusters(df: DataFrame, keys: list[str], value: str, limit: Column, na
 def anchored_clusters(df: DataFrame, keys: list[str], position: str, width: int) -> DataFrame:
     """(keys, start_pos, center, n) of clusters that each begin at the first position not yet in one and hold all positions less than width after it.
 
-    center is the whole mean of all rows' positions. The positions are split first where neighbours are width or more apart, which always
-    begins a cluster; a task holds the distinct positions of one such stretch. Nulls are left out.
+    center is the whole mean of all rows' positions. The positions are split first where neighbours are width or more apart, which always begins a cluster. In
+    a longer stretch each position points to the first one width or more after it, and the beginnings are what the stretch's first position leads to:
+    pointers are doubled, so a stretch of n clusters takes log2(n) rounds of joins and is never held by one task. Nulls are left out.
     """
     starts = cut(_cluster_starts(df, keys, position, width - 1, "_stretch", SHARD))
-    spans = starts.groupBy(*keys, "_stretch").agg((F.max(position) - F.col("_stretch")).alias("_span"), F.count(F.lit(1)).alias("_k"))
-    long = cut(spans.where(F.col("_span") >= width).select(*keys, "_stretch", "_k"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(position)
-        p, out, i = pdf[position].to_numpy(), np.empty(len(pdf), np.int64), 0
-        while i < len(p):
-            j = int(np.searchsorted(p, p[i] + width))
-            out[i:j] = p[i]
-            i = j
-        return pdf.assign(start_pos=out)[[*keys, "start_pos", position, "_n"]]
-
-    # A stretch narrower than width, as most are, is one cluster as it is.
-    kinds = starts.select(*keys, F.col("_stretch").alias("start_pos"), position, "_n")
-    short = starts.join(long, [*keys, "_stretch"], "left_anti").select(*keys, F.col("_stretch").alias("start_pos"), position, "_n")
-    placed = short.unionByName(join_per_key(starts, long, [*keys, "_stretch"], "_k").groupBy(*keys, "_stretch").applyInPandas(greedy, kinds.schema))
-    total = F.sum(F.col(position) * F.col("_n"))
-    return placed.groupBy(*keys, "start_pos").agg(F.floor(total / F.sum("_n")).alias("center"), F.sum("_n").alias("n"))
+    spans = starts.groupBy(*keys, "_stretch").agg((F.max(position) - F.col("_stretch")).alias("_span"))
+    long = cut(starts.join(spans.where(F.col("_span") >= width).select(*keys, "_stretch"), [*keys, "_stretch"], "left_semi").select(*keys, "_stretch", F.col(position).alias("_p"), "_n"))
+    own = [*keys, "_stretch"]
+    # Mirrored, the first position after a place is the last one before it.
+    targets = long.select(*own, (-F.col("_p")).alias("_at"), F.col("_p").alias("_to"))
+    pointers = ranges.last_before(long.select(*own, "_p", (-F.col("_p") - width).alias("_back")), targets, own, "_back", "_at", "_to")
+    pointers = cut(pointers.where("_to is not null").select(*own, "_p", "_to"))
+    reached = long.select(*own).distinct().withColumn("_p", F.col("_stretch"))
+    while not pointers.isEmpty():
+        reached = cut(reached.unionByName(reached.join(pointers.hint("merge"), [*own, "_p"]).select(*own, F.col("_to").alias("_p"))).distinct())
+        further = pointers.select(*own, F.col("_p").alias("_to"), F.col("_to").alias("_next"))
+        pointers = cut(pointers.join(further.hint("merge"), [*own, "_to"]).select(*own, "_p", F.col("_next").alias("_to")))
+    begun = ranges.last_before(long, reached.select(*own, F.col("_p").alias("_at"), F.col("_p").alias("start_pos")), own, "_p", "_at", "start_pos")
+    short = starts.join(long.select(*own).distinct(), own, "left_anti").select(*keys, F.col("_stretch").alias("start_pos"), F.col(position).alias("_p"), "_n")
+    placed = short.unionByName(begun.select(*keys, "start_pos", "_p", "_n"))
+    return placed.groupBy(*keys, "start_pos").agg(F.floor(F.sum(F.col("_p") * F.col("_n")) / F.sum("_n")).alias("center"), F.sum("_n").alias("n"))

@@ -1,7 +1,5 @@
 from pyspark.sql import functions as F
 
-from pyspark.sql import functions as F
-
 from strandline.operators import skew
 from strandline.operators.skew import join_per_key
 
