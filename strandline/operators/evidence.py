@@ -10,7 +10,7 @@ from strandline.lineage import cut
 from strandline.operators import hotkeys, islands, ranges, segments
 
 KEY = ["node_a", "node_b"]
-MORE = ("mapq", "aln_key", "segment_length")
+MORE = ("mapq", "mismatch_rate")
 
 
 def connections(rows: DataFrame, gap: int = 50) -> DataFrame:
@@ -322,3 +322,35 @@ def repeat_labels(rows: DataFrame, segs: DataFrame, pad: int = 25, most: int = 3
     by = met.groupBy(*key).agg(F.count_distinct("junction_key").alias("n_junctions")).join(reads, key, "left").fillna(0, ["n_reads"])
     label = F.when(F.col("n_reads") < 2, "FAIL_VNTR").when(F.col("n_junctions") > most, "FAIL_COMPLEX_VNTR").when(F.col("n_junctions") > 1, "MERGE").otherwise("PASS")
     return by.select(*key, "n_junctions", "n_reads", label.alias("label"))
+
+
+def moved_ends(conns: DataFrame, least: int = 50) -> DataFrame:
+    """(chr_a, dir_a, position_a, chr_b, dir_b, position_b, overlap) of detected junctions whose segments overlap in the read by a median of least or more, after the end with the higher median of mismatches gave way by that much.
+
+    Connections that don't overlap don't count for overlap; of equal mismatches the second end gives way.
+    """
+    spots = cut(places(conns))
+    own = detected(conns, spots).select(*KEY).distinct()
+    by = conns.join(own, KEY, "left_semi").groupBy(*KEY).agg(
+        F.floor(F.median(F.when(F.col("gap") < 0, -F.col("gap")))).alias("overlap"), F.median("mismatch_rate_a").alias("mm_a"), F.median("mismatch_rate_b").alias("mm_b")
+    ).where(F.col("overlap") >= least)
+    for e in "ab":
+        by = by.join(spots.select(F.col("node").alias(f"node_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("chr", "dir", "position")]), f"node_{e}")
+    first = F.coalesce(F.col("mm_a") > F.col("mm_b"), F.lit(False))
+    moved = lambda e, gives: (F.col(f"position_{e}") + F.when(gives, F.when(F.col(f"dir_{e}") == -1, F.col("overlap")).otherwise(-F.col("overlap"))).otherwise(0)).alias(f"position_{e}")
+    return by.select("chr_a", "dir_a", moved("a", first), "chr_b", "dir_b", moved("b", ~first), "overlap")
+
+
+def loss_regions(coverage: DataFrame, is_control: Column, most: int = 3, gap: int = 2000, least: int = 10_000) -> DataFrame:
+    """(genome_id, ref_id, haplotype, start_pos, end_pos) of stretches of least or more in which one haplotype of a genome that is no control has at most most segments a bin and the other more.
+
+    Bins are left out where the first control by name has at most most on haplotype 1 and more on 2. Gaps up to gap are bridged. coverage: that of coverage_histogram.
+    """
+    h = lambda n: F.coalesce(F.sum(F.when(F.col("haplotype") == n, F.col("n"))), F.lit(0))
+    by = coverage.groupBy("genome_id", "ref_id", "bin").agg(h(1).alias("h1"), h(2).alias("h2"))
+    chosen = coverage.where(is_control).agg(F.min("genome_id").alias("g"))
+    tested = by.where(F.col("genome_id") == chosen.scalar()).where((F.col("h1") <= most) & (F.col("h2") > most)).select("ref_id", "bin")
+    lost = by.where(~is_control).where((F.col("h1") <= most) != (F.col("h2") <= most)).join(tested, ["ref_id", "bin"], "left_anti").withColumn("haplotype", F.when(F.col("h1") <= most, 1).otherwise(2))
+    runs = islands.cluster_counts(lost, ["genome_id", "ref_id", "haplotype"], "bin", gap // segments.BIN + 1)
+    start, end = F.col("start_pos") * segments.BIN, (F.col("end_pos") + 1) * segments.BIN
+    return runs.where(end - start >= least).select("genome_id", "ref_id", "haplotype", start.alias("start_pos"), end.alias("end_pos"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import evidence, segments
-from strandline.plans.reference import BACKGROUND, CONTROL, JUN, MASK, SEG, _islands, _jun, _seg, collapsed_regions
+from strandline.plans.reference import _COV, BACKGROUND, CONTROL, JUN, MASK, SEG, _islands, _jun, _seg, collapsed_regions
 from strandline.plans.reference_joins import _PAF, _alignments
 from strandline.tables import load
 
@@ -27,15 +27,15 @@ def query(sql: str | None = None):
 
 
 _CONN = SEG + """,
-cn as (select genome_id, read_id, seg_id, ref_id, ref_start, ref_end, strand, read_start, read_end, haplotype, is_pass, mapq,
-    lead(struct_pack(ref_id := ref_id, ref_start := ref_start, ref_end := ref_end, strand := strand, read_start := read_start, haplotype := haplotype, is_pass := is_pass, mapq := mapq))
+cn as (select genome_id, read_id, seg_id, ref_id, ref_start, ref_end, strand, read_start, read_end, haplotype, is_pass, mapq, mismatch_rate,
+    lead(struct_pack(ref_id := ref_id, ref_start := ref_start, ref_end := ref_end, strand := strand, read_start := read_start, haplotype := haplotype, is_pass := is_pass, mapq := mapq, mismatch_rate := mismatch_rate))
       over (partition by genome_id, read_id order by align_start nulls first, read_start nulls first, seg_id) y
   from split where is_pass = 'PASS' or segment_length >= 1000),
 cq as (select genome_id, read_id, seg_id, y.read_start - read_end gap,
     struct_pack(chr := ref_id, pos := case when (strand = 1) = (y.read_start > read_start) then ref_end else ref_start end, dir := case when (strand = 1) = (y.read_start > read_start) then 1 else -1 end,
-      hp := haplotype, passed := coalesce(is_pass = 'PASS', false), mapq := mapq) p,
+      hp := haplotype, passed := coalesce(is_pass = 'PASS', false), mapq := mapq, mm := mismatch_rate) p,
     struct_pack(chr := y.ref_id, pos := case when (y.strand = 1) = (y.read_start > read_start) then y.ref_start else y.ref_end end, dir := case when (y.strand = 1) = (y.read_start > read_start) then -1 else 1 end,
-      hp := y.haplotype, passed := coalesce(y.is_pass = 'PASS', false), mapq := y.mapq) q
+      hp := y.haplotype, passed := coalesce(y.is_pass = 'PASS', false), mapq := y.mapq, mm := y.mismatch_rate) q
   from cn where y is not null and y.read_start - read_end < 1000),
 co as (select genome_id, read_id, seg_id, gap, case when p.pos <= q.pos then p else q end a, case when p.pos <= q.pos then q else p end b from cq),
 ce as (select seg_id, a.chr chr, a.dir dir, a.pos pos, 'a' side from co union all select seg_id, b.chr, b.dir, b.pos, 'b' from co)""" + _islands("ce", "chr, dir", "pos", 50, "cluster", "ck") + """,
@@ -238,3 +238,20 @@ select chr, low, high, n_junctions, coalesce(n_reads, 0) n_reads, case when coal
 def repeat_labels(spark: SparkSession, d: str) -> DataFrame:
     """Repeats with what becomes of the junctions in them."""
     return evidence.repeat_labels(_jun(spark, d), _seg(spark, d))
+
+
+@query(f"""with {_DET}, mo as (select node_a, node_b, floor(median(-gap) filter (gap < 0))::bigint o, median(a.mm) ma, median(b.mm) mb from bo where (node_a, node_b) in (select (node_a, node_b) from det) group by all having floor(median(-gap) filter (gap < 0)) >= 50),
+mv as (select x.chr chr_a, x.dir dir_a, x.position pa, y.chr chr_b, y.dir dir_b, y.position pb, o, coalesce(ma > mb, false) f from mo join spot x on x.node = node_a join spot y on y.node = node_b)
+select chr_a, dir_a, pa + case when not f then 0 when dir_a = -1 then o else -o end position_a, chr_b, dir_b, pb + case when f then 0 when dir_b = -1 then o else -o end position_b, o "overlap" from mv""")
+def moved_ends(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions whose segments overlap in the read, with the end moved that fits worse."""
+    return evidence.moved_ends(evidence.connections(_seg(spark, d)))
+
+
+@query(f"""with {_COV}, hp as (select genome_id, ref_id, bin, coalesce(sum(n) filter (haplotype = 1), 0) a, coalesce(sum(n) filter (haplotype = 2), 0) b from cov group by all),
+ts as (select ref_id, bin from hp where genome_id = (select min(genome_id) from cov where {CONTROL}) and a <= 3 and b > 3),
+lost as (select genome_id, ref_id, bin, case when a <= 3 then 1 else 2 end haplotype from hp where not {CONTROL} and (a <= 3) <> (b <= 3) and (ref_id, bin) not in (select (ref_id, bin) from ts)){_islands("lost", "genome_id, ref_id, haplotype", "bin", 3, "c", "lc")}
+select genome_id, ref_id, haplotype, c * 1000 start_pos, (max(bin) + 1) * 1000 end_pos from lc group by genome_id, ref_id, haplotype, c having max(bin) + 1 - c >= 2""")
+def loss_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of at least 2000 in which one haplotype is lost, tested against a control."""
+    return evidence.loss_regions(segments.coverage_histogram(_seg(spark, d)), F.expr(CONTROL), least=2000)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.lineage import cut
 from strandline.operators import calls, cigar, evidence, graph, rearrangements, segments
-from strandline.plans.reference import JUN, SEG, _islands, _jun, _seg
+from strandline.plans.reference import _COV, JUN, SEG, _islands, _jun, _seg
 from strandline.plans.reference_evidence import _DET
 from strandline.plans.reference_joins import _REACH, _edges
 from strandline.tables import load
@@ -213,6 +213,18 @@ def cluster_table(spark: SparkSession, d: str) -> DataFrame:
     return rearrangements.cluster_table(edges, parts, j)
 
 
+@query(f"""with {JUN}, {_NEAR}, {_COV.replace(SEG, '').lstrip(", ")}, g as (select distinct genome_id, chr ref_id, least(pos, other) s, greatest(pos, other) t from nbr),
+b as (select genome_id, ref_id, s, t, unnest(generate_series(s // 1000, t // 1000)) bin from g),
+f as (select b.*, h.haplotype, coalesce(n, 0) n from b cross join (values (0), (1), (2)) h(haplotype) left join cov using (genome_id, ref_id, bin, haplotype))
+select genome_id, ref_id, s start_pos, t end_pos, haplotype, floor(median(n))::bigint coverage from f group by all""".replace(f"with {JUN}", f"with {SEG.strip()}, {JUN.strip()}"))
+def segment_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Whole median coverage of each genomic segment by haplotype; bins without segments count as 0."""
+    found = rearrangements.neighbours(_jun(spark, d), load(spark, d, "contigs"))
+    spans = found.select("genome_id", F.col("chr").alias("ref_id"), F.least("pos", "other").alias("start_pos"), F.greatest("pos", "other").alias("end_pos")).distinct()
+    wanted = spans.withColumns({"low": F.floor(F.col("start_pos") / 1000), "high": F.floor(F.col("end_pos") / 1000), "haplotype": F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))})
+    return calls.median_depth(wanted, segments.coverage_histogram(_seg(spark, d)), ["genome_id", "ref_id", "start_pos", "end_pos", "haplotype"]).withColumnRenamed("depth", "coverage")
+
+
 # Alignments written as CIGAR from the segments, and cut into segments again.
 
 
