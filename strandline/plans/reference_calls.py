@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandline.operators import calls, graph, islands, junctions, segments
 from strandline.plans.reference import JUN, PAIRS, SEG, _COV, _islands, _jun, _seg
-from strandline.plans.reference_joins import _REACH, REPEATS, _edges, _positions, _repeats, types_of
+from strandline.plans.reference_joins import _GRAPH, _REACH, REPEATS, _edges, _positions, _repeats, types_of
+from strandline.plans.reference_joins import SQL as joined
 from strandline.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -249,7 +250,23 @@ def cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     return calls.cluster_rows(edges, graph.components(edges, "src", "dst"), _jun(spark, d))
 
 
-# Components of the graph with the links that are no junctions. The tables of the SQL comparison have no gr_id, so these have no SQL.
+# Components of the graph with the links that are no junctions.
+
+_LINKS = f"""with recursive {_GRAPH}, pj as (select * from jun where chr_b is not null and is_pass = 'PASS'),
+le as (select genome_id, supp, chr_a chr, pos_a pos, dir_a dir from pj union all select genome_id, supp, chr_b, pos_b, dir_b from pj),
+lp as (select genome_id, chr, pos, dir, sum(supp)::bigint s from le where dir is not null and supp is not null group by all),
+lq as (select m.genome_id, m.chr, m.pos, m.s, (select max((q.pos, q.s)) from lp q where q.genome_id = m.genome_id and q.chr = m.chr and q.dir = 1 and q.pos < m.pos) q from lp m where m.dir = -1),
+la as (select distinct chr, q[1] pp, pos mp from lq where abs(q[2] - s) <= least(q[2], s) and pos - q[1] <= 1000000),
+pl as (select distinct chr, pos, chr || ':' || c node from ec), ek as (select distinct junction_key, unnest([src, dst]) node from edges),
+gj as (select distinct gr_id, node from (select distinct junction_key, gr_id from pj where gr_id is not null) join ek using (junction_key)),
+links as (select p.node src, q.node dst from la join pl p on p.chr = la.chr and p.pos = pp join pl q on q.chr = la.chr and q.pos = mp union select node, min(node) over (partition by gr_id) from gj),
+u as (select src a, dst b from edges union select dst, src from edges union select src, dst from links union select dst, src from links),
+reach(a, b) as (select a, b from u union select reach.a, u.b from reach join u on reach.b = u.a), comp as (select a node, least(a, min(b)) component from reach group by a)"""
+
+
+def _over_links(name: str) -> str:
+    """The SQL of the query of this name over the linked components."""
+    return (SQL.get(name) or joined[name]).replace(_REACH, _LINKS)
 
 
 def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -270,22 +287,22 @@ def _linked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edges, graph.components(edges.select("src", "dst").unionByName(links), "src", "dst")
 
 
-@query()
+@query(f"{_LINKS} select component, count(*) n_nodes from comp group by all")
 def linked_components(spark: SparkSession, d: str) -> DataFrame:
     return _linked(spark, d)[1].groupBy("component").agg(F.count(F.lit(1)).alias("n_nodes"))
 
 
-@query()
+@query(_over_links("component_types"))
 def linked_component_types(spark: SparkSession, d: str) -> DataFrame:
     """Junctions by kind of each linked component that has more than one junction."""
     return types_of(*_linked(spark, d))
 
 
-@query()
+@query(_over_links("component_table"))
 def linked_component_table(spark: SparkSession, d: str) -> DataFrame:
     return calls.component_table(*_linked(spark, d))
 
 
-@query()
+@query(_over_links("cluster_rows"))
 def linked_cluster_rows(spark: SparkSession, d: str) -> DataFrame:
     return calls.cluster_rows(*_linked(spark, d), _jun(spark, d))
