@@ -108,7 +108,9 @@ def sketch(df: DataFrame, keys: list[str], value: str, shape: Shape = Shape(), w
             out.append((*key, level, 1, _packed(rows)))
         return pd.DataFrame(out, columns=[*keys, "level", "sign", "counters"])
 
-    return counts.groupBy(*keys).applyInPandas(build, schema)
+    # The sums are small, but each group is work: with the number given, adaptive execution doesn't put them all into one task.
+    spread = counts.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return spread.groupBy(*keys).applyInPandas(build, schema)
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
