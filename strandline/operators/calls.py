@@ -108,24 +108,34 @@ def coverage_calls(rows: DataFrame, coverage: DataFrame, dup_share: float = 0.5,
     return both.withColumn("call", call).where("call is not null").select(*key, "call")
 
 
-def median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], block: int = 1024) -> DataFrame:
+def median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], haplotypes: tuple[int, ...] | None = None, base: int = 8, levels: int = 5) -> DataFrame:
     """Whole median of segments per bin over the ranges [low, high] of bins of each key: (*key, depth). wanted: (*key, haplotype, ref_id, low, high), key with genome_id.
 
-    Whole blocks of bins are read as counts by depth, only a range's edges bin by bin, so a long range costs few rows; bins without segments count as 0.
+    With haplotypes, wanted has none: each range counts for all of them, and key names haplotype. Bins are also counted by depth in blocks of base, base ** 2, and so on;
+    a range is read as its whole blocks of the greatest size that fit, so it costs less than 2 * base rows a level, however long, but for blocks of the last level.
+    Bins without segments count as 0. wanted is read twice: pass what is cheap to read.
     """
-    place = ["genome_id", "haplotype", "ref_id"]
-    first, last = F.ceil(F.col("low") / block), F.floor((F.col("high") + 1) / block)
+    place = ["genome_id", "ref_id"] if haplotypes else ["genome_id", "ref_id", "haplotype"]
+    own = [c for c in dict.fromkeys([*key, *place]) if not (haplotypes and c == "haplotype")]
+    # A block of a level is one number: its place along the axis by levels, and the level.
     none = F.array().cast("array<bigint>")
-    upto = lambda a, b: F.when(a <= b, F.sequence(a.cast("long"), b.cast("long"))).otherwise(none)
-    edges = F.when(first < last, F.concat(upto(F.col("low"), first * block - 1), upto(last * block, F.col("high")))).otherwise(upto(F.col("low"), F.col("high")))
-    own, blocks = list(dict.fromkeys([*key, *place])), upto(first, last - 1)
-    counts = coverage.withColumn("block", F.floor(F.col("bin") / block)).groupBy(*place, "block", "n").agg(F.count(F.lit(1)).alias("c"))
-    met = wanted.select(*own, F.explode(edges).alias("bin")).join(coverage, [*place, "bin"]).select(*key, "n", F.lit(1).cast("long").alias("c"))
-    met = met.unionByName(wanted.select(*own, F.explode(blocks).alias("block")).join(counts, [*place, "block"]).select(*key, "n", "c"))
-    by = met.groupBy(*key, "n").agg(F.sum("c").alias("c"))
-    held, whole = by.groupBy(*key).agg(F.sum("c").alias("held")), wanted.groupBy(*key).agg(F.sum(F.greatest(F.col("high") - F.col("low") + 1, F.lit(0))).alias("bins"))
-    empty = whole.join(held, key, "left").select(*key, F.lit(0).cast("long").alias("n"), (F.col("bins") - F.coalesce("held", F.lit(0))).alias("c"))
-    return by.unionByName(empty).where("c > 0").groupBy(*key).agg(F.floor(F.percentile("n", 0.5, F.col("c"))).alias("depth"))
+    upto = lambda i, a, b: F.when(a < b, F.sequence(a * levels + i, (b - 1) * levels + i, F.lit(levels).cast("long"))).otherwise(none)
+    first, end = [F.ceil(F.col("low") / base**i).cast("long") for i in range(levels)], [F.floor((F.col("high") + 1) / base**i).cast("long") for i in range(levels)]
+    pieces = [upto(levels - 1, first[-1], end[-1])]
+    for i in range(levels - 1):
+        inner = first[i + 1] < end[i + 1]
+        pieces += [upto(i, first[i], F.when(inner, first[i + 1] * base).otherwise(end[i])), F.when(inner, upto(i, end[i + 1] * base, end[i])).otherwise(none)]
+    blocks = F.explode(F.array(*[F.floor(F.col("bin") / base**i).cast("long") * levels + i for i in range(levels)]))
+    counts = coverage.select("genome_id", "ref_id", "haplotype", "n", blocks.alias("block")).groupBy("genome_id", "ref_id", "haplotype", "block", "n").agg(F.count(F.lit(1)).alias("c"))
+    whole = wanted.select(*own, F.greatest(F.col("high") - F.col("low") + 1, F.lit(0)).alias("c"))
+    if haplotypes:
+        counts = counts.where(F.col("haplotype").isin(*haplotypes))
+        whole = whole.withColumn("haplotype", F.explode(F.array(*[F.lit(h) for h in haplotypes])))
+    met = wanted.select(*own, F.explode(F.concat(*pieces)).alias("block")).join(counts, [*place, "block"])
+    # All bins count as 0 at first; those with segments are taken from them.
+    found = met.select(*key, F.inline(F.array(F.struct("n", "c"), F.struct(F.lit(0).cast("long").alias("n"), (-F.col("c")).alias("c")))))
+    by = whole.select(*key, F.lit(0).cast("long").alias("n"), "c").unionByName(found).groupBy(*key, "n").agg(F.sum("c").alias("c"))
+    return by.where("c > 0").groupBy(*key).agg(F.floor(F.percentile("n", 0.5, F.col("c"))).alias("depth"))
 
 
 def typed_by_coverage(rows: DataFrame, coverage: DataFrame, contigs: DataFrame, dup_share: float = 0.5, del_share: float = 1.5, short: int = 10_000, small: int = 5000, flank: int = 5) -> DataFrame:

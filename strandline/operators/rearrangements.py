@@ -52,10 +52,10 @@ def neighbours(rows: DataFrame, contigs: DataFrame, longest: int = 2_000_000, fl
     near = F.col("y").between(F.col("x") + 1, F.col("x") + longest)
     by_read = facing.select("genome_id", "chr", "dir", "y", F.explode("b_reads").alias("read")).distinct()
     first = ends.select(*key, "x", F.explode("supp_read_ids").alias("read")).distinct().join(by_read, ["genome_id", "chr", "dir", "read"]).where(near)
-    first = first.groupBy(*key).agg(F.min("y").alias("y1"))
+    first = cut(first.groupBy(*key).agg(F.min("y").alias("y1")))
     apart = F.coalesce((F.col("ps") == F.col("b_ps")) & (F.col("hp") > 0) & (F.col("b_hp") > 0) & (F.col("hp") != F.col("b_hp")), F.lit(False))
     fits = near & ~apart & (F.abs(F.col("supp") - F.col("b_supp")) < F.least("supp", "b_supp"))
-    left = ends.join(first.select(*key), key, "left_anti").drop("supp_read_ids").distinct()
+    left = cut(ends.join(first.select(*key), key, "left_anti").drop("supp_read_ids").distinct())
     second = None
     for reach in (*reaches, longest):
         met = ranges.near_pairs(left, facing.drop("b_reads").distinct(), ["genome_id", "chr", "dir"], "x", "y", reach).where(fits)

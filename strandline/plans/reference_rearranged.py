@@ -221,8 +221,8 @@ def segment_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Whole median coverage of each genomic segment by haplotype; bins without segments count as 0."""
     found = rearrangements.neighbours(_jun(spark, d), load(spark, d, "contigs"))
     spans = found.select("genome_id", F.col("chr").alias("ref_id"), F.least("pos", "other").alias("start_pos"), F.greatest("pos", "other").alias("end_pos")).distinct()
-    wanted = spans.withColumns({"low": F.floor(F.col("start_pos") / 1000), "high": F.floor(F.col("end_pos") / 1000), "haplotype": F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))})
-    return calls.median_depth(wanted, segments.coverage_histogram(_seg(spark, d)), ["genome_id", "ref_id", "start_pos", "end_pos", "haplotype"]).withColumnRenamed("depth", "coverage")
+    wanted = spans.withColumns({"low": F.floor(F.col("start_pos") / 1000), "high": F.floor(F.col("end_pos") / 1000)})
+    return calls.median_depth(cut(wanted), segments.coverage_histogram(_seg(spark, d)), ["genome_id", "ref_id", "start_pos", "end_pos", "haplotype"], (0, 1, 2)).withColumnRenamed("depth", "coverage")
 
 
 # Alignments written as CIGAR from the segments, and cut into segments again.
