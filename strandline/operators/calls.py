@@ -126,7 +126,9 @@ def median_depth(wanted: DataFrame, coverage: DataFrame, key: list[str], haploty
         inner = first[i + 1] < end[i + 1]
         pieces += [upto(i, first[i], F.when(inner, first[i + 1] * base).otherwise(end[i])), F.when(inner, upto(i, end[i + 1] * base, end[i])).otherwise(none)]
     blocks = F.explode(F.array(*[F.floor(F.col("bin") / base**i).cast("long") * levels + i for i in range(levels)]))
-    counts = coverage.select("genome_id", "ref_id", "haplotype", "n", blocks.alias("block")).groupBy("genome_id", "ref_id", "haplotype", "block", "n").agg(F.count(F.lit(1)).alias("c"))
+    # The bins of a block of the last level come together once, so its smaller blocks are counted where they are.
+    near = coverage.withColumn("top", F.floor(F.col("bin") / base ** (levels - 1))).repartition("genome_id", "ref_id", "top")
+    counts = near.select("genome_id", "ref_id", "top", "haplotype", "n", blocks.alias("block")).groupBy("genome_id", "ref_id", "top", "haplotype", "block", "n").agg(F.count(F.lit(1)).alias("c")).drop("top")
     whole = wanted.select(*own, F.greatest(F.col("high") - F.col("low") + 1, F.lit(0)).alias("c"))
     if haplotypes:
         counts = counts.where(F.col("haplotype").isin(*haplotypes))

@@ -50,8 +50,10 @@ def neighbours(rows: DataFrame, contigs: DataFrame, longest: int = 2_000_000, fl
     # Along x every end looks upwards; the ends it can meet have the other direction and are placed on the same axis.
     facing = ends.select("genome_id", "chr", (-F.col("dir")).alias("dir"), (-F.col("x")).alias("y"), F.col("hp").alias("b_hp"), F.col("ps").alias("b_ps"), F.col("supp").alias("b_supp"), F.col("supp_read_ids").alias("b_reads"))
     near = F.col("y").between(F.col("x") + 1, F.col("x") + longest)
-    by_read = facing.select("genome_id", "chr", "dir", "y", F.explode("b_reads").alias("read")).distinct()
-    first = ends.select(*key, "x", F.explode("supp_read_ids").alias("read")).distinct().join(by_read, ["genome_id", "chr", "dir", "read"]).where(near)
+    # Spread by the join's own columns, the rows are told apart without another shuffle.
+    together = ["genome_id", "chr", "dir", "read"]
+    by_read = facing.select("genome_id", "chr", "dir", "y", F.explode("b_reads").alias("read")).repartition(*together).distinct()
+    first = ends.select(*key, "x", F.explode("supp_read_ids").alias("read")).repartition(*together).distinct().join(by_read, together).where(near)
     first = cut(first.groupBy(*key).agg(F.min("y").alias("y1")))
     apart = F.coalesce((F.col("ps") == F.col("b_ps")) & (F.col("hp") > 0) & (F.col("b_hp") > 0) & (F.col("hp") != F.col("b_hp")), F.lit(False))
     fits = near & ~apart & (F.abs(F.col("supp") - F.col("b_supp")) < F.least("supp", "b_supp"))
